@@ -11,6 +11,36 @@ from lattica.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import suffix_dedup
+
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import lm
+
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import packing
+
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import warc
+
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm import decontam
+
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import simhash
 
@@ -24,6 +54,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_lm_score": op4_lm_score,
+    "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
