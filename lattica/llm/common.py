@@ -114,16 +114,38 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        at = np.cumsum(size) - size
-        power = np.full(int(size.max()), 0x9E3779B97F4A7C15, dtype=np.uint64)
-        power[0] = 0xD6E8FEB86659FD93
-        np.multiply.accumulate(power, out=power)
-        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(at, size)
-        terms = (self.buf[self.black].astype(np.uint64) + np.uint64(1)) * power[place]
-        return mix(np.add.reduceat(terms, at) + size.astype(np.uint64))
+        return hash_ranges(self.buf[self.black], self.end - self.start)
+
+    def trimmed(self, marks: np.ndarray, most: int = 8) -> np.ndarray:
+        """The hashes of the words without up to `most` bytes of the table `marks` at either end."""
+        start, end = self.start.copy(), self.end.copy()
+        for _ in range(most):
+            cut = (start < end) & marks[self.buf[start]]
+            if not cut.any():
+                break
+            start += cut
+        for _ in range(most):
+            cut = (start < end) & marks[self.buf[end - 1]]
+            if not cut.any():
+                break
+            end -= cut
+        size = end - start
+        inside = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+        out = np.zeros(len(size), np.uint64)
+        out[size > 0] = hash_ranges(self.buf[inside], size[size > 0])
+        return out
+
+
+def hash_ranges(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges, none of them empty, that follow one another in data."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    at = np.cumsum(size) - size
+    power = np.full(int(size.max()), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    power[0] = 0xD6E8FEB86659FD93
+    np.multiply.accumulate(power, out=power)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(at, size)
+    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], at) + size.astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
