@@ -116,8 +116,9 @@ class Words:
         """A 64-bit hash of each word's bytes."""
         return hash_ranges(self.buf[self.black], self.end - self.start)
 
-    def trimmed(self, marks: np.ndarray, most: int = 8) -> np.ndarray:
-        """The hashes of the words without up to `most` bytes of the table `marks` at either end."""
+    def trimmed(self, marks: np.ndarray, most: int = 8, characters: int = 0) -> np.ndarray:
+        """The hashes of the words without up to `most` bytes of the table `marks` at either end; characters: of so
+        many first ones only."""
         start, end = self.start.copy(), self.end.copy()
         for _ in range(most):
             cut = (start < end) & marks[self.buf[start]]
@@ -129,6 +130,10 @@ class Words:
             if not cut.any():
                 break
             end -= cut
+        if characters:
+            heads = np.flatnonzero((self.buf & 0xC0) != 0x80)
+            k = np.searchsorted(heads, start) + characters
+            end = np.where(k < len(heads), np.minimum(end, heads[np.minimum(k, len(heads) - 1)]), end)
         size = end - start
         inside = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
         out = np.zeros(len(size), np.uint64)

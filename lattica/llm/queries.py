@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.llm import url_lists
 from lattica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.report(table(spark, sf_dir, "pages"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import lm
 
@@ -68,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
+    "op3_url_lists": op3_url_lists,
     "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
@@ -77,4 +83,6 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_lists": url_lists.ORACLE,
+}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import save, shared_dir, slices
+from lattica.llm.common import keyed, save, shared_dir, slices
 
 WIDTH, BITS, SEED = 3, 2, 42
 
@@ -176,3 +176,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", bits: int = BITS) -
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 lower-case hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents' own columns: of each component, the row with the smallest id (of repeated rows, one)."""
+    names = docs.columns
+    rows = keyed(docs, id_col, [c for c in names if c != id_col], "simhash-keyed")
+    kept = near_duplicates(rows.select("rid", "text"), "rid").filter("rid = component_id").select("rid")
+    return rows.join(kept, "rid", "left_semi").select(*names)

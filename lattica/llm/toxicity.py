@@ -1,10 +1,12 @@
 """Toxicity: two class-conditional Kneser-Ney models of word bigrams over one shared backoff.
 
 Both models are fitted on equally many toxic and ordinary labelled documents (at most `SAMPLE_ROWS` of each, outside
-the held-out fold). A word's class count is its number of distinct words before it, its backoff the sum of both
-classes' counts, and `DISCOUNT` is taken from every count, so an expression that a class has seen a few times only is
-judged by the shared backoff, alike in both. A text is read in passages of `PASSAGE` words: the passage's two
-log-likelihoods are divided by its length and compared, and the text's evidence is its worst passage and its mean.
+the held-out fold). A class counts a bigram by its tokens, and a word, like each of its beginnings of `STEMS`
+characters, by its distinct bigrams. `DISCOUNT` is taken from every count, and what that frees goes to the next
+shorter form: bigram, word, stems, and at last counts shared by both classes. An expression that a class has seen a few
+times only is thus judged by its stem (inflected insults) or, failing that, alike in both classes. A text is read in
+passages of `PASSAGE` words: the two log-likelihoods of a passage, divided by its length, are compared, and the text's
+evidence is its worst passage, its mean, and the mean of what exceeds `EXCESS`, plain and weighed by the root of its length.
 A logistic calibration on a third of the sample that the counts don't use turns evidence into a probability at the
 labels' own rate. Scoring runs in Arrow batches over whole texts without a shuffle.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, in_fold, mix, save, slices
 
 SAMPLE_ROWS, DISCOUNT, PASSAGE, PREDICT = 3000, 3.0, 6, 0.5
+STEMS, EXCESS = (3, 4, 5, 6), 1.0
 FOLD = (5, 0)
 MARKS = np.zeros(256, bool)
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -39,6 +42,7 @@ class Reading(Words):
     def __init__(self, texts: list[bytes]):
         super().__init__([t.lower() for t in texts])
         self.word = self.trimmed(MARKS)
+        self.forms = [*(self.trimmed(MARKS, characters=k) for k in STEMS), self.word]
         self.before = np.zeros_like(self.word)
         self.before[1:] = np.where(self.doc[1:] == self.doc[:-1], self.word[:-1], 0)
         self.pair = mix(self.before * _A + self.word * _B)
@@ -54,35 +58,36 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class KneserNey:
-    """Arrays of two columns hold the ordinary and the toxic class."""
+    """Arrays of two columns hold the ordinary and the toxic class; forms: from the shortest stem to the word."""
 
-    word: np.ndarray
-    word_n: np.ndarray
+    form: list[np.ndarray]
+    form_n: list[np.ndarray]
+    form_cut: list[np.ndarray]
+    total: np.ndarray
     context: np.ndarray
     context_n: np.ndarray
     context_cut: np.ndarray
     pair: np.ndarray
     pair_n: np.ndarray
-    total: np.ndarray
-    cut: np.ndarray
     weights: np.ndarray
 
     def ratio(self, r: Reading) -> np.ndarray:
         """Of each word, log P(word | before, toxic) - log P(word | before, ordinary)."""
-        u, inverse = np.unique(r.word, return_inverse=True)
-        at, known = _at(self.word, u)
-        n = np.where(known[:, None], self.word_n[at], 0.0) if len(self.word) else np.zeros((len(u), 2))
-        shared = (n.sum(1) + 0.5) / (self.total.sum() + 0.5)
-        p = (np.maximum(n - DISCOUNT, 0) + self.cut * shared[:, None]) / np.maximum(self.total, 1)
+        u, first, inverse = np.unique(r.word, return_index=True, return_inverse=True)
+        p, above = np.ones((len(u), 2)), np.full(len(u), self.total.sum())
+        for form, n, cut, hashes in zip(self.form, self.form_n, self.form_cut, r.forms, strict=True):
+            at, known = _at(form, hashes[first])
+            own = np.where(known[:, None], n[at], 0.0) if len(form) else np.zeros((len(u), 2))
+            share = (own.sum(1) + 0.5) / (above + 1.0)
+            p = (np.maximum(own - DISCOUNT, 0) + cut * p * share[:, None]) / np.maximum(self.total, 1)
+            above = own.sum(1)
         cat, seen = _at(self.context, u)
         p = p[inverse]
-        previous = np.zeros(len(r.word), np.int64)
-        previous[1:] = inverse[:-1]
         has = np.zeros(len(r.word), bool)
         has[1:] = (r.before[1:] != 0) & seen[inverse[:-1]]
         rows = np.flatnonzero(has)
         if len(rows):
-            c = cat[previous[rows]]
+            c = cat[inverse[rows - 1]]
             pat, there = _at(self.pair, r.pair[rows])
             own = np.where(there[:, None], np.maximum(self.pair_n[pat] - DISCOUNT, 0), 0.0) if len(self.pair) else 0.0
             total, cut = self.context_n[c], self.context_cut[c]
@@ -90,8 +95,9 @@ class KneserNey:
         return np.log(p[:, 1]) - np.log(p[:, 0])
 
     def evidence(self, r: Reading) -> np.ndarray:
-        """(texts, 2): the largest passage mean, and the text's mean, of the words' log ratios."""
-        out = np.zeros((r.n, 2))
+        """(texts, 4): of the words' log ratios, the largest passage mean, the mean, the mean of what exceeds `EXCESS`, and
+        that mean times the root of the words."""
+        out = np.zeros((r.n, 4))
         if not len(r.word):
             return out
         ratio = self.ratio(r)
@@ -99,26 +105,30 @@ class KneserNey:
         first = np.concatenate([[0], np.cumsum(r.count)])[:-1]
         some = np.flatnonzero(r.count)
         out[some, 1] = (s[first[some] + r.count[some]] - s[first[some]]) / r.count[some]
+        out[:, 2] = np.bincount(r.doc, weights=np.maximum(ratio - EXCESS, 0), minlength=r.n) / np.maximum(r.count, 1)
+        out[:, 3] = out[:, 2] * np.sqrt(r.count)
         end = np.minimum(np.arange(len(ratio)) + PASSAGE, (first + r.count)[r.doc])
         begin = np.maximum(np.minimum(np.arange(len(ratio)), end - PASSAGE), first[r.doc])  # a text's last passages are whole
         out[some, 0] = np.maximum.reduceat((s[end] - s[begin]) / (end - begin), first[some])
         return out
 
     def score(self, r: Reading) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.evidence(r) @ self.weights[:2] + self.weights[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.evidence(r) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
     """Logistic weights of the evidence, by Newton steps on balanced classes, moved to the labels' rate."""
     z = np.column_stack([x, np.ones(len(x))])
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
-    w = np.zeros(3)
+    k = z.shape[1]
+    pull = np.array([1e-2] * (k - 1) + [0.0])
+    w = np.zeros(k)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (weight * (p - y)) + np.array([1e-2, 1e-2, 0]) * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([1e-2, 1e-2, 1e-6])
+        g = z.T @ (weight * (p - y)) + pull * w
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-6)
         w = w - np.linalg.solve(h, g)
-    w[2] += np.log(rate / (1 - rate))
+    w[-1] += np.log(rate / (1 - rate))
     return w
 
 
@@ -139,21 +149,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Kneser
         for part, texts in slices(batches):
             r = Reading(texts)
             y = part.column("y").to_numpy(zero_copy_only=False)[r.doc]
-            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(r.before.view(np.int64)), pa.array(r.word.view(np.int64)), pa.array(r.pair.view(np.int64))], names=["y", "v", "w", "pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (r.before, r.pair, *r.forms))], names=["y", "v", "pair", *forms])
 
-    base = save(sample.filter("counted").select("y", "text").mapInArrow(grams, "y int, v long, w long, pair long").groupBy("v", "w", "pair").agg(*(F.sum((F.col("y") == k).cast("double")).alias(f"n{k}") for k in (0, 1))), "toxicity-grams")
+    forms = [*(f"s{k}" for k in STEMS), "w"]
+    longs = ", ".join(f"{n} long" for n in ("v", "pair", *forms))
+    base = save(sample.filter("counted").select("y", "text").mapInArrow(grams, f"y int, {longs}").groupBy("v", "pair", *forms).agg(*(F.sum((F.col("y") == k).cast("double")).alias(f"n{k}") for k in (0, 1))), "toxicity-grams")
     two = lambda df, *cols: np.column_stack([df.column(c).to_numpy() for c in cols]).astype(float).reshape(-1, 2)
     key = lambda df, c: df.column(c).to_numpy().view(np.uint64)
-    words = base.groupBy("w").agg(F.sum((F.col("n0") > 0).cast("double")).alias("n0"), F.sum((F.col("n1") > 0).cast("double")).alias("n1"))
-    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("n0", "n1")), *(F.coalesce(F.sum(F.least(c, F.lit(DISCOUNT))), F.lit(0.0)) for c in ("n0", "n1"))).first()
     above = lambda: F.greatest("n0", "n1") > DISCOUNT
-    word = words.filter(above()).toArrow()
-    pair = base.filter(above()).select("pair", "n0", "n1").toArrow()
+    form, form_n, form_cut, total = [], [], [], np.zeros(2)
+    for name in forms:
+        by = base.groupBy(name).agg(F.sum((F.col("n0") > 0).cast("double")).alias("n0"), F.sum((F.col("n1") > 0).cast("double")).alias("n1"))
+        sums = by.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("n0", "n1")), *(F.coalesce(F.sum(F.least(c, F.lit(DISCOUNT))), F.lit(0.0)) for c in ("n0", "n1"))).first()
+        top = by.filter(above()).toArrow()
+        order = np.argsort(key(top, name))
+        form.append(key(top, name)[order]), form_n.append(two(top, "n0", "n1")[order]), form_cut.append(np.array(sums[2:]))
+        total = np.array(sums[:2])
+    pair = base.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(above()).toArrow()
     context = base.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *(F.sum(F.least(f"n{k}", F.lit(DISCOUNT))).alias(f"c{k}") for k in (0, 1)), F.max(F.greatest("n0", "n1")).alias("most")).filter(F.col("most") > DISCOUNT).toArrow()
-    a, b, c = (np.argsort(key(t, n)) for t, n in ((word, "w"), (context, "v"), (pair, "pair")))
+    b, c = (np.argsort(key(t, n)) for t, n in ((context, "v"), (pair, "pair")))
     model = KneserNey(
-        key(word, "w")[a], two(word, "n0", "n1")[a], key(context, "v")[b], two(context, "n0", "n1")[b], two(context, "c0", "c1")[b], key(pair, "pair")[c], two(pair, "n0", "n1")[c],
-        np.array([sums[0], sums[1]]), np.array([sums[2], sums[3]]), np.array([0.0, 0.0, -30.0 if rate < 0.5 else 30.0]),
+        form, form_n, form_cut, total, key(context, "v")[b], two(context, "n0", "n1")[b], two(context, "c0", "c1")[b], key(pair, "pair")[c], two(pair, "n0", "n1")[c],
+        np.array([0.0] * 4 + [-30.0 if rate < 0.5 else 30.0]),
     )
     if not 0 < rate < 1 or not (model.total > 0).all():
         return model
@@ -162,12 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Kneser
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             e = shared.value.evidence(Reading(texts))
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array(e[:, k]) for k in range(4))], names=["y", *"abcd"])
 
-    got = sample.filter("not counted").select("y", "text").mapInArrow(weigh, "y int, a double, b double").orderBy("y", "a", "b").toArrow()
+    got = sample.filter("not counted").select("y", "text").mapInArrow(weigh, "y int, a double, b double, c double, d double").orderBy("y", *"abcd").toArrow()
     y = got.column("y").to_numpy()
     if len(np.unique(y)) == 2:
-        model.weights = calibrate(np.column_stack([got.column("a").to_numpy(), got.column("b").to_numpy()]), y, rate)
+        model.weights = calibrate(np.column_stack([got.column(n).to_numpy() for n in "abcd"]), y, rate)
     return model
 
 
