@@ -94,16 +94,16 @@ held AS (
     SELECT kind, pattern, verdict, action, CAST(day AS DATE) AS since, lead(CAST(day AS DATE)) OVER (PARTITION BY kind, pattern ORDER BY CAST(day AS DATE), action, verdict) AS until FROM log) x
   WHERE action = 'add' AND (until IS NULL OR since < until)),
 base AS (
-  SELECT page_id, CAST('2024-01-01' AS DATE) + CAST(page_id % 366 AS INTEGER) AS at,
+  SELECT page_id, CAST('2024-01-01' AS DATE) + CAST(page_id % 366 AS INTEGER) AS fetched,
     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS seg FROM pages),
 keys AS (
-  SELECT page_id, at, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, 1000), '.') AS pattern FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM base) a
-  UNION SELECT page_id, at, 'word', unnest(string_split(replace(host, '-', '.'), '.')) FROM base
-  UNION SELECT page_id, at, 'path', lower(host || seg) FROM base),
+  SELECT page_id, fetched, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, 1000), '.') AS pattern FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM base) a
+  UNION SELECT page_id, fetched, 'word', unnest(string_split(replace(host, '-', '.'), '.')) FROM base
+  UNION SELECT page_id, fetched, 'path', lower(host || seg) FROM base),
 active AS (
   SELECT k.page_id, h.pattern, h.verdict, row_number() OVER (PARTITION BY k.page_id ORDER BY length(h.pattern) DESC, h.verdict = 'allow' DESC, h.pattern DESC) AS rn, count(*) OVER (PARTITION BY k.page_id) AS n
-  FROM keys k JOIN held h ON k.kind = h.kind AND k.pattern = h.pattern AND h.since <= k.at AND (h.until IS NULL OR k.at < h.until))
-SELECT b.page_id, b.host, CAST(b.at AS VARCHAR) AS fetched_on, coalesce(a.n, 0) AS n_active, a.pattern, coalesce(a.verdict, 'none') AS decision
+  FROM keys k JOIN held h ON k.kind = h.kind AND k.pattern = h.pattern AND h.since <= k.fetched AND (h.until IS NULL OR k.fetched < h.until))
+SELECT b.page_id, b.host, CAST(b.fetched AS VARCHAR) AS fetched_on, coalesce(a.n, 0) AS n_active, a.pattern, coalesce(a.verdict, 'none') AS decision
 FROM base b LEFT JOIN active a ON a.page_id = b.page_id AND a.rn = 1
 """
