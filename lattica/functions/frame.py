@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +50,9 @@ def on_grid(df: DataFrame, config: CloudConfig, axes: tuple[str, str, str] = ("x
 def adopt_scale(headers: DataFrame) -> float:
     """The finest native scale of the inputs' headers (one row each)."""
     return headers.agg(F.min("scale")).first()[0]
+
+
+def fitted(points: DataFrame, config: CloudConfig, axes: tuple[str, str, str] = ("x", "y", "z")) -> CloudConfig:
+    """The config with its offset at the points' least coordinates: one aggregate row."""
+    low = points.agg(*(F.min(a).cast("double") for a in axes)).first()
+    return replace(config, offset=tuple(0.0 if v is None else float(v) for v in low))

@@ -7,6 +7,7 @@ the points and interior nodes from the samples.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,18 @@ class Box:
         return all(a >= b for a, b in zip(self.low, self.high, strict=True))
 
 
+def _whole(low: float, high: float) -> tuple[Column, Column]:
+    """Bounds of grid values as integers, so that filters on the integer columns reach the scan."""
+    most = 1 << 62
+    return F.lit(math.ceil(max(low, -most))).cast("long"), F.lit(math.floor(min(high, most))).cast("long")
+
+
 def inside(box: Box | None) -> Column:
     if box is None or box.everything:
         return F.lit(True)
     out = F.lit(True)
     for axis, a, b in zip(AXES, box.low, box.high, strict=True):
-        out = out & F.col(axis).between(F.lit(a), F.lit(b))
+        out = out & F.col(axis).between(*_whole(a, b))
     return out
 
 
@@ -44,7 +51,8 @@ def overlaps(box: Box | None) -> Column:
         return F.lit(True)
     out = F.lit(True)
     for axis, a, b in zip(AXES, box.low, box.high, strict=True):
-        out = out & (F.col(f"max_{axis}") >= F.lit(a)) & (F.col(f"min_{axis}") <= F.lit(b))
+        least, most = _whole(a, b)
+        out = out & (F.col(f"max_{axis}") >= least) & (F.col(f"min_{axis}") <= most)
     return out
 
 
