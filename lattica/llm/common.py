@@ -76,6 +76,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", columns: Sequence[str] = ("te
     return save(docs.select(F.monotonically_increasing_id().alias("rid"), id_col, *columns), label)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): the other columns as one struct, so that their names can't clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def unboxed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` again. A column `chars` of df, where it isn't null, is the text's new n_chars."""
+    kinds = dict(like.dtypes)
+    chars = lambda n: [F.col("chars").cast(kinds[n])] if "chars" in df.columns and n == "n_chars" else []
+    return df.select(*(F.col("text") if n == "text" else F.coalesce(*chars(n), F.col(f"row.`{n}`")).alias(n) for n in like.columns))
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,7 +15,6 @@ an item_id are one item. Repeated documents each get a row.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed, save, texts_of
+from lattica.llm.common import boxed, keyed, save, texts_of, unboxed
 
 WINDOW, MIN_ITEMS, SAMPLE = 8, 2, 8
 SHARD_BYTES, BENCH_BYTES = 24_000_000, 8_000_000
@@ -295,36 +294,29 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Items found in different blocks of a benchmark of several blocks are counted together."""
     found = list(blocks(benchmark))
+    rows = boxed(docs).withColumn("chars", F.lit(None).cast("long"))
     if len(found) == 1:
-        return _cut(docs, found[0], MIN_ITEMS)
-    dirty = search(docs, benchmark).filter(F.size("items") >= MIN_ITEMS).select("doc_id").distinct()
-    rest = docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+        return unboxed(_cut(rows, found[0], MIN_ITEMS), docs)
+    dirty = search(docs, benchmark).filter(F.size("items") >= MIN_ITEMS).select(F.col("doc_id").alias("dirty")).distinct()
+    rows = rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty")), "left_anti")
     for b in found:
-        rest = _cut(rest, b, None)
-    return rest
+        rows = _cut(rows, b, None)
+    return unboxed(rows, docs)
 
 
 def _cut(rows: DataFrame, bench: Benchmark, most: int | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bench)
-    schema = rows.schema
-    names = rows.columns
+    names = ["doc_id", "text", "row", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts, _, hits, items in _search(batches, shared.value):
             keep = pa.array([most is None or len(x) < most for x in items])
-            new = part.column("text").to_pylist()
+            new, chars = part.column("text").to_pylist(), part.column("chars").to_pylist()
             for i, h in enumerate(hits):
                 if h is not None:
-                    left, at = [], 0
-                    for a, b in byte_spans(texts[i], h):
-                        left.append(texts[i][at:a])
-                        at = b
-                    new[i] = b"".join([*left, texts[i][at:]]).decode()
-            cols = {n: part.column(n) for n in names}
-            cols["text"] = pa.array(new, part.schema.field("text").type)
-            if "n_chars" in cols:
-                old, kind = part.column("n_chars").to_pylist(), part.schema.field("n_chars").type
-                cols["n_chars"] = pa.array([len(new[i]) if hits[i] is not None else old[i] for i in range(len(new))], kind)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names).filter(keep)
-
-    return rows.mapInArrow(run, schema)
+                    edge = [0, *(x for s in byte_spans(texts[i], h) for x in s), len(texts[i])]
+                    new[i] = b"".join(texts[i][a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)).decode()
+                    chars[i] = len(new[i])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(new, pa.string()), part.column("row"), pa.array(chars, pa.int64())], names=names).filter(keep)
+
+    return rows.select(*names).mapInArrow(run, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed, save, shared_dir, slices
+from lattica.llm.common import boxed, keyed, save, shared_dir, slices, unboxed
 
 WIDTH, BITS, SEED = 3, 2, 42
 
@@ -178,9 +178,9 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents' own columns: of each component, the row with the smallest id (of repeated rows, one)."""
-    names = docs.columns
-    rows = keyed(docs, id_col, [c for c in names if c != id_col], "simhash-keyed")
-    kept = near_duplicates(rows.select("rid", "text"), "rid").filter("rid = component_id").select("rid")
-    return rows.join(kept, "rid", "left_semi").select(*names)
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents' own columns: of each component, the row with the smallest id, nulls last (of repeated rows, one)."""
+    rows = keyed(boxed(docs), columns=("text", "row"), label="simhash-keyed")
+    groups = near_duplicates(rows.select("rid", "text"), "rid").select("rid", "component_id")
+    first = rows.select("rid", "doc_id").join(groups, "rid").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("one"))
+    return unboxed(rows.join(first.select(F.col("one.rid").alias("rid")), "rid", "left_semi"), docs)

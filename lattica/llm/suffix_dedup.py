@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import drop, free_shuffles, keyed, mix, save, slices
+from lattica.llm.common import boxed, drop, free_shuffles, keyed, mix, save, slices, unboxed
 from lattica.llm.gsaca import suffix_arrays
 
 LENGTH, GRAM, TEXT_BYTES, WAYS = 200, 32, 1 << 15, 4
@@ -311,22 +311,18 @@ def characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
 
 def cut(docs: DataFrame) -> DataFrame:
     """The documents with their own columns, texts without their repeated strings (by whole characters)."""
-    names = docs.columns
-    rows = keyed(docs, columns=[c for c in names if c != "doc_id"], label="suffix-keyed")
+    rows = keyed(boxed(docs), columns=("text", "row"), label="suffix-keyed")
     found = repeated_ranges(rows)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    row = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             new = part.column("text").to_pylist()
-            spans = [characters(t, merge(of)) for t, of in zip(texts, part.column("of").to_pylist(), strict=True)]
-            for i, s in enumerate(spans):
-                if s:
-                    new[i] = without(texts[i], s).decode()
-            cols = {n: part.column(n) for n in names}
-            cols["text"] = pa.array(new, part.schema.field("text").type)
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(x) if s else n for x, s, n in zip(new, spans, part.column("n_chars").to_pylist(), strict=True)], part.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
-
-    return rows.join(found, "rid", "left").select(*names, "of").mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in kinds.items()))
+            chars: list[int | None] = [None] * len(new)
+            for i, of in enumerate(part.column("of").to_pylist()):
+                if spans := characters(texts[i], merge(of)):
+                    new[i] = without(texts[i], spans).decode()
+                    chars[i] = len(new[i])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(new, pa.string()), pa.array(chars, pa.int64())], names=["row", "text", "chars"])
+
+    return unboxed(rows.join(found, "rid", "left").select("row", "text", "of").mapInArrow(run, f"row {row}, text string, chars long"), docs)

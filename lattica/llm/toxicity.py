@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, in_fold, mix, save, slices
+from lattica.llm.common import Words, boxed, in_fold, mix, save, slices, unboxed
 
 SAMPLE_ROWS, DISCOUNT, PASSAGE, PREDICT = 3000, 3.0, 6, 0.5
 STEMS, EXCESS = (3, 4, 5, 6), 1.0
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: KneserNey, keep: list[str] | None = None) -> D
     """doc_id, held_out, score, predicted; or the columns of `keep` and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = keep or ["doc_id"]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    fields = {f.name: f.dataType.simpleString() for f in docs.select(*names).schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -210,7 +210,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents' own columns, without those scored as toxic."""
-    if "score" in docs.columns:
-        docs = docs.withColumnRenamed("score", "lattica_own_score")
-    out = score(docs, train(docs.select("doc_id", "text"), labels), docs.columns).filter(F.col("score") < PREDICT).drop("score")
-    return out.withColumnRenamed("lattica_own_score", "score") if "lattica_own_score" in out.columns else out
+    return unboxed(score(boxed(docs), train(docs, labels), ["text", "row"]).filter(F.col("score") < PREDICT), docs)
