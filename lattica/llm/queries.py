@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import url_lists
+from lattica.llm import sql, url_lists
 from lattica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm import suffix_dedup
 
-    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.report(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": sql.SUFFIX_DEDUP,
     "op3_url_lists": url_lists.ORACLE,
+    "op7_warc": sql.WARC,
+    "op8_decontaminate": sql.DECONTAMINATE,
 }
