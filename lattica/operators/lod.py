@@ -79,3 +79,21 @@ def prefix_counts(levelled: DataFrame, node: list[str]) -> DataFrame:
     by = levelled.groupBy(*node, "rep_level").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*node).orderBy(F.desc("rep_level")).rowsBetween(Window.unboundedPreceding, 0)
     return by.select(*node, F.col("rep_level").alias("k"), F.sum("n").over(w).alias("points"))
+
+
+def draw_size(counts: DataFrame, node: list[str], total: str, distance: str, focal: float, height: int, scale: float, spacing_px: float) -> DataFrame:
+    """(node, draw): how long a prefix of each node's coarse-to-fine order gives points `spacing_px` apart on screen.
+
+    counts: prefix_counts() with the node's number of points and distance. At distance 0, or where cells are finer than
+    the grid, all points are drawn; otherwise at least one."""
+    pixels = F.lit(focal * 0.5 * height) / F.nullif(F.col(distance).cast("double"), F.lit(0.0))
+    step = F.floor(F.log2(F.greatest(F.lit(spacing_px) / pixels / F.lit(scale), F.lit(1e-9)))).cast("int")
+    need = F.least(step, F.lit(63))
+    by = counts.withColumn("need", need).groupBy(*node, total, "need").agg(F.max(F.when(F.col("k") >= F.col("need"), F.col("points"))).alias("prefix"))
+    return by.select(*node, F.when(F.col("need").isNull() | (F.col("need") < 0), F.col(total)).otherwise(F.least(F.greatest(F.coalesce("prefix", F.lit(0)), F.lit(1)), F.col(total))).alias("draw"))
+
+
+def virtual_octants(points_with_leaf: DataFrame, levels: int = 1) -> DataFrame:
+    """(leaf_lod, leaf_key, lod, key, n, low, high): the non-empty octants `levels` below each leaf, made on demand."""
+    at = points_with_leaf.filter(F.col("leaf_lod") >= levels).withColumn("lod", F.col("leaf_lod") - levels)
+    return at.withColumn("key", M.prefix("morton", F.col("lod"))).groupBy("leaf_lod", "leaf_key", "lod", "key").agg(F.count(F.lit(1)).alias("n"), F.min("morton").alias("low"), F.max("morton").alias("high"))

@@ -71,7 +71,39 @@ def contrast(c: str, low: float, high: float):
     return F.when(width == 0, F.lit(0.0)).otherwise(F.least(F.greatest((F.col(c).cast("double") - F.lit(float(low))) / F.nullif(width, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
-def memory_budgets(total_mib: int) -> dict[str, int]:
-    """Shares of a total memory budget in MiB: a quarter for decoded data, io and cache, and reads in flight."""
-    quarter = max(total_mib // 4, 16)
-    return {"decoded": quarter, "cache": quarter, "compressed": max(total_mib // 16, 4), "reads": min(max(quarter // 4, 4), 64)}
+MIB = 1 << 20
+
+#: Shares of a total budget and their bounds: name -> (divisor, least MiB, most MiB). Fixed values.
+BUDGETS = {"read_cache": (4, 16, 256), "decompressed_cache": (16, 8, 64), "decoded_backlog": (4, 24, 256), "resident": (4, 32, 256)}
+
+
+def memory_budgets(total_bytes: int) -> dict[str, int]:
+    """Bytes of each pool, and the reads in flight that its backlog of 4 MiB blocks allows."""
+    out = {n: min(max(total_bytes // d, low * MIB), high * MIB) for n, (d, low, high) in BUDGETS.items()}
+    return out | {"reads_in_flight": min(max(out["decoded_backlog"] // (4 * MIB), 4), 64)}
+
+
+def pressure(used: int, most: int) -> str:
+    """'none', 'high' from 80 % of the ceiling, 'critical' from 90 %; without a ceiling, none."""
+    share = 10 * used / most if most else 0
+    return "critical" if share >= 9 else "high" if share >= 8 else "none"
+
+
+def unreferenced(stored: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Stored units that no node refers to: what a clean-up may delete."""
+    return stored.join(nodes.select(*key).distinct(), key, "left_anti")
+
+
+def points_per_return(points: DataFrame) -> DataFrame:
+    """(return_number, n) of points with las_composite_0 or _1."""
+    from lattica.operators.schema import unpack
+
+    name = next(c for c in ("las_composite_0", "las_composite_1") if c in points.columns)
+    return points.groupBy(unpack(name, F.col(name))["return_number"].alias("return_number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def storage(source: DataFrame, samples: DataFrame, attributes: list[str]) -> DataFrame:
+    """attribute_stats of the points and of the samples, with each attribute's overhead of the samples in percent."""
+    both = attribute_stats(source, attributes).withColumn("part", F.lit("source")).unionByName(attribute_stats(samples, [a for a in attributes if a in samples.columns]).withColumn("part", F.lit("lod")))
+    by = both.groupBy("attribute").pivot("part", ["source", "lod"]).agg(F.sum("raw_bytes"))
+    return by.select("attribute", F.coalesce("source", F.lit(0)).alias("source_bytes"), F.coalesce("lod", F.lit(0)).alias("lod_bytes"), (F.lit(100.0) * F.coalesce("lod", F.lit(0)) / F.nullif(F.col("source"), F.lit(0))).alias("overhead_percent"))

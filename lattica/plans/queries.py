@@ -321,6 +321,22 @@ def rep_level_prefix_counts(spark, sf_dir):
     return lod.prefix_counts(lod.rep_level(octree.leaf_of_point(points, LIMIT, tree, top), unit), unit)
 
 
+@query(f"WITH {LEAF} SELECT leaf_lod, leaf_key, leaf_lod - 1 AS lod, morton >> (3 * leaf_lod) AS key, count(*) AS n, min(morton) AS low, max(morton) AS high FROM leafed WHERE leaf_lod >= 1 GROUP BY 1, 2, 3, 4")
+def virtual_octants(spark, sf_dir):
+    points, top, tree = _tree(spark, sf_dir)
+    return lod.virtual_octants(octree.leaf_of_point(points, LIMIT, tree, top))
+
+
+@query(f"""WITH {LEAF}, {_REP}, u AS (SELECT leaf_lod, leaf_key, count(*) AS total, CAST(floor(log2(greatest(4.0::DOUBLE / (540.0::DOUBLE / (100.0::DOUBLE * leaf_lod)) / 0.25::DOUBLE, 1e-9::DOUBLE))) AS INTEGER) AS need FROM rep GROUP BY 1, 2)
+SELECT u.leaf_lod, u.leaf_key, CASE WHEN need < 0 THEN total ELSE least(greatest((SELECT count(*) FROM rep r WHERE r.leaf_lod = u.leaf_lod AND r.leaf_key = u.leaf_key AND r.rep_level >= least(u.need, 63)), 1), total) END AS draw FROM u""")
+def lod_draw_size(spark, sf_dir):
+    points, top, tree = _tree(spark, sf_dir)
+    unit = ["leaf_lod", "leaf_key"]
+    counts = lod.prefix_counts(lod.rep_level(octree.leaf_of_point(points, LIMIT, tree, top), unit), unit)
+    held = tree.filter("is_leaf").select(F.col("lod").alias("leaf_lod"), F.col("key").alias("leaf_key"), F.col("n").alias("total"), (F.col("lod") * 100.0).alias("distance"))
+    return lod.draw_size(counts.join(held, unit), unit, "total", "distance", 1.0, 1080, 0.25, 4.0)
+
+
 # --- Camera selection -------------------------------------------------------------------------------------------
 
 
@@ -410,6 +426,29 @@ def schema_union(spark, sf_dir):
     return schema.union(a, b)
 
 
+@query(f"WITH {SAMPLES}, a AS (SELECT sum(8) AS p, sum(8) AS g FROM pts), b AS (SELECT sum(8) AS p, sum(8) AS g FROM sample) SELECT 'price' AS attribute, CAST(a.p AS BIGINT) AS source_bytes, CAST(b.p AS BIGINT) AS lod_bytes, 100.0::DOUBLE * b.p / a.p AS overhead_percent FROM a, b UNION ALL SELECT 'gx', CAST(a.g AS BIGINT), CAST(b.g AS BIGINT), 100.0::DOUBLE * b.g / a.g FROM a, b")
+def storage_overhead(spark, sf_dir):
+    points, _, tree = _tree(spark, sf_dir)
+    return stats.storage(points, lod.pyramid(points, tree, DETAIL), ["price", "gx"])
+
+
+@query("SELECT l_linenumber & 7 AS return_number, count(*) AS n FROM lineitem GROUP BY 1")
+def points_per_return(spark, sf_dir):
+    return stats.points_per_return(las_composite_pack(spark, sf_dir).withColumnRenamed("packed", "las_composite_0"))
+
+
+@query(f"WITH {NODES} SELECT l.lod, l.key, l.n FROM lvl l LEFT JOIN nodes n ON n.lod = l.lod AND n.key = l.key WHERE n.lod IS NULL AND l.lod >= 8")
+def unreferenced_units(spark, sf_dir):
+    points, top, tree = _tree(spark, sf_dir)
+    return stats.unreferenced(octree.levels(points, top).filter("lod >= 8"), tree, ["lod", "key"]).select("lod", "key", "n")
+
+
+@query("SELECT 1024 AS mib, 268435456 AS read_cache, 67108864 AS decompressed_cache, 268435456 AS decoded_backlog, 268435456 AS resident, 64 AS reads_in_flight UNION ALL SELECT 256, 67108864, 16777216, 67108864, 67108864, 16")
+def memory_budgets(spark, sf_dir):
+    rows = [(m, *stats.memory_budgets(m * stats.MIB).values()) for m in (1024, 256)]
+    return spark.createDataFrame(rows, "mib int, read_cache int, decompressed_cache int, decoded_backlog int, resident int, reads_in_flight int")
+
+
 # --- Codecs -----------------------------------------------------------------------------------------------------
 
 

@@ -75,3 +75,16 @@ def ingest(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, on
             on_batch(df, batch)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def same_dataset(cache_uuid: str | None, destination_uuid: str | None) -> None:
+    """A cache may feed a destination that is empty or of its own dataset."""
+    if destination_uuid is not None and cache_uuid != destination_uuid:
+        raise RuntimeError(f"the destination holds another dataset ({destination_uuid})")
+
+
+def resume(ledger: DataFrame) -> DataFrame:
+    """The ledger as a restart finds it: inputs dispatched but not done are read again from their start."""
+    done = F.col("read_finished") & (F.col("inserted") == F.col("sub_count"))
+    started = F.col("read_started") & done
+    return ledger.withColumn("inserted", F.when(done, F.col("inserted")).otherwise(0)).withColumn("read_finished", done).withColumn("read_started", started)

@@ -207,7 +207,47 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
 
 def test_statistics_helpers(spark):
     assert stats.attribute_registry(["xyz", "a"], ["xyz", "b", "a"]) == ["xyz", "a", "b"]
-    assert stats.memory_budgets(1024)["decoded"] == 256
+    tiny = stats.memory_budgets(0)
+    assert (tiny["read_cache"], tiny["decoded_backlog"], tiny["reads_in_flight"]) == (16 << 20, 24 << 20, 6)
+    assert [stats.pressure(u, m) for u, m in ((0, 0), (79, 100), (80, 100), (90, 100))] == ["none", "none", "high", "critical"]
+
+
+def test_requests(spark, grid):
+    from lattica.sources.requests import Request
+
+    seen = []
+    r = Request(grid.filter("gx < 3").select("gx"), seen.append)
+    assert r.wait(60) == "completed" and r.result().num_rows == 3 * 576 and r.completion == 1
+    with pytest.raises(ValueError):
+        r.copy_into("gx", memoryview(bytearray(8)))
+    assert r.copy_into("gx", memoryview(bytearray(8 * 3 * 576))) == 8 * 3 * 576
+    bad = Request(spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert bad.wait(60) == "failed" and "no" in bad.error
+    slow = Request(spark.range(10**12).agg(F.sum(F.xxhash64("id"))))
+    assert slow.wait(0.5) == "pending"
+    slow.cancel()
+    assert slow.wait(60) == "canceled"
+
+
+def test_locations(tmp_path, monkeypatch, capsys):
+    from lattica.sources import locations
+
+    assert locations.resolve("s3://b/k") == "s3a://b/k" and locations.resolve("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        locations.resolve("ftp://x")
+    (tmp_path / "c").write_text("fs.a=1\n\n")
+    monkeypatch.setenv("LATTICA_TEST", "x=2")
+    assert (locations.connection(f"@{tmp_path}/c"), locations.connection("env:LATTICA_TEST")) == ("fs.a=1", "x=2")
+    locations.connection("password=1")
+    assert "warning" in capsys.readouterr().err
+
+
+def test_restart_reads_unfinished_inputs_again(spark):
+    led = spark.createDataFrame([("a", 1, 1, True, True, 2, 2), ("b", 2, 2, True, False, 2, 1)], "name string, input_order long, morton_min long, read_started boolean, read_finished boolean, sub_count int, inserted int")
+    got = {r["name"]: (r["read_started"], r["inserted"]) for r in ledger.resume(led).collect()}
+    assert got == {"a": (True, 2), "b": (False, 0)}
+    with pytest.raises(RuntimeError):
+        ledger.same_dataset("u1", "u2")
 
 
 def test_command_line(spark, tmp_path, capsys):
