@@ -65,9 +65,15 @@ _orders = clouds.orders
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    """The points, the root's level and the node table, which is made once: it is small, and plans read it repeatedly."""
     points = _orders(spark, sf_dir)
     top = octree.root(points)
-    return points, top, octree.nodes(points, LIMIT, top)
+    return points, top, clouds.settled(octree.nodes(points, LIMIT, top))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _orders(spark, sf_dir)
+    return octree.nodes(points, LIMIT, octree.root(points))
 
 
 # --- Morton algebra and the frame -------------------------------------------------------------------------------
@@ -135,12 +141,12 @@ def octree_level_counts(spark, sf_dir):
 
 @query(f"WITH {NODES} SELECT lod, key, n, low, high, child_mask, is_leaf, page, level, min_gx, max_gx, min_gy, max_gy, min_gz, max_gz FROM nodes")
 def octree_nodes(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].select("lod", "key", "n", "low", "high", F.col("child_mask").cast("int").alias("child_mask"), "is_leaf", "page", "level", *(f"{n}_{a}" for a in ("gx", "gy", "gz") for n in ("min", "max")))
+    return _nodes(spark, sf_dir).select("lod", "key", "n", "low", "high", F.col("child_mask").cast("int").alias("child_mask"), "is_leaf", "page", "level", *(f"{n}_{a}" for a in ("gx", "gy", "gz") for n in ("min", "max")))
 
 
 @query(f"WITH {NODES} SELECT lod, key, n FROM nodes WHERE is_leaf")
 def octree_leaves(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].filter("is_leaf").select("lod", "key", "n")
+    return _nodes(spark, sf_dir).filter("is_leaf").select("lod", "key", "n")
 
 
 @query(f"""WITH {P}, {ROOT}, k AS (SELECT min(morton) >> CAST(3 * (max(r) + 1) AS INTEGER) AS root_key, max(r) AS r, count(*) AS point_count, min(gx) AS min_gx, max(gx) AS max_gx, min(gy) AS min_gy, max(gy) AS max_gy, min(gz) AS min_gz, max(gz) AS max_gz FROM pts, root)
@@ -157,17 +163,17 @@ def leaf_of_point(spark, sf_dir):
 
 @query(f"WITH {NODES} SELECT page, key >> (3 * (page * 5 + 4 - lod)) AS page_key, count(*) AS nodes, CAST(sum(CASE WHEN is_leaf THEN 1 ELSE 0 END) AS BIGINT) AS leaves FROM nodes GROUP BY 1, 2")
 def subtree_pages(spark, sf_dir):
-    return stats.page_summary(_tree(spark, sf_dir)[2])
+    return stats.page_summary(_nodes(spark, sf_dir))
 
 
 @query(f"WITH {NODES} SELECT lod, count(*) AS nodes, CAST(sum(CASE WHEN is_leaf THEN 0 ELSE 1 END) AS BIGINT) AS interior, CAST(sum(n) AS BIGINT) AS points FROM nodes GROUP BY lod")
 def level_summary(spark, sf_dir):
-    return stats.level_summary(_tree(spark, sf_dir)[2])
+    return stats.level_summary(_nodes(spark, sf_dir))
 
 
 @query(f"WITH {NODES} SELECT lod, key, CAST(key & ((1 << CAST((4 - lod % 5) * 3 AS INTEGER)) - 1) AS INTEGER) AS name FROM nodes")
 def node_names(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].select("lod", "key", M.node_name("key", F.col("lod")).alias("name"))
+    return _nodes(spark, sf_dir).select("lod", "key", M.node_name("key", F.col("lod")).alias("name"))
 
 
 @query(f"WITH {NODES} SELECT p.lod AS parent_lod, p.key AS parent_key, c.lod, c.key FROM nodes c JOIN nodes p ON NOT p.is_leaf AND p.lod = c.lod + 1 AND p.key = c.key >> 3")
@@ -353,12 +359,12 @@ _REFINE = f"(({_D2}) = 0 OR {FOCAL * 0.5!r}::DOUBLE * sqrt(power(max_gx - min_gx
 
 @query(f"WITH {NODES} SELECT lod, key, {_VIEW} AS view FROM nodes")
 def frustum_nodes(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].select("lod", "key", frustum.classify(PLANES).alias("view"))
+    return _nodes(spark, sf_dir).select("lod", "key", frustum.classify(PLANES).alias("view"))
 
 
 @query(f"WITH {NODES} SELECT lod, key, {_REFINE} AS refines FROM nodes")
 def screen_error_refine(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].select("lod", "key", frustum.refines(EYE, FOCAL, ERROR).alias("refines"))
+    return _nodes(spark, sf_dir).select("lod", "key", frustum.refines(EYE, FOCAL, ERROR).alias("refines"))
 
 
 @query(f"WITH {NODES}, v AS (SELECT *, ({_VIEW}) <> 'outside' AS visible, ({_VIEW}) <> 'outside' AND NOT is_leaf AND {_REFINE} AS refined FROM nodes) SELECT lod, key, visible, refined FROM v s WHERE NOT EXISTS (SELECT 1 FROM v a WHERE a.lod > s.lod AND a.key = s.key >> (3 * (a.lod - s.lod)) AND NOT a.refined)")
@@ -368,7 +374,7 @@ def frustum_walk(spark, sf_dir):
 
 @query(f"WITH {NODES}, d AS (SELECT lod, key, n, coalesce(sum(n) OVER (ORDER BY {_D2}, lod, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nodes WHERE is_leaf) SELECT lod, key, n FROM d WHERE before < 3000")
 def nearest_nodes_budget(spark, sf_dir):
-    return frustum.nearest(_tree(spark, sf_dir)[2], EYE, 3000).select("lod", "key", "n")
+    return frustum.nearest(_nodes(spark, sf_dir), EYE, 3000).select("lod", "key", "n")
 
 
 @query(f"WITH {NODES}, a AS (SELECT lod, key FROM nodes WHERE is_leaf AND {OVERLAP_SQL}), b AS (SELECT lod, key FROM nodes WHERE is_leaf AND ({_VIEW}) <> 'outside') SELECT coalesce(a.lod, b.lod) AS lod, coalesce(a.key, b.key) AS key, CASE WHEN a.lod IS NULL THEN 'in' WHEN b.lod IS NULL THEN 'out' ELSE 'stay' END AS status FROM a FULL JOIN b ON a.lod = b.lod AND a.key = b.key")
@@ -550,7 +556,7 @@ FINAL = 1 << 36
 
 @query(f"WITH {NODES} SELECT lod, key, CASE WHEN ((key + 1) << (3 * (lod + 1))) - 1 < {FINAL} THEN 'final' ELSE 'building' END AS state FROM nodes")
 def final_nodes(spark, sf_dir):
-    return ledger.final_nodes(_tree(spark, sf_dir)[2], FINAL).select("lod", "key", "state")
+    return ledger.final_nodes(_nodes(spark, sf_dir), FINAL).select("lod", "key", "state")
 
 
 @query(f"WITH {P} SELECT id, morton FROM pts WHERE morton < {FINAL >> 1}")
@@ -560,7 +566,7 @@ def late_points(spark, sf_dir):
 
 @query(f"WITH {NODES} SELECT lod, key, CASE WHEN ((key + 1) << (3 * (lod + 1))) - 1 < {FINAL >> 2} THEN 0 WHEN ((key + 1) << (3 * (lod + 1))) - 1 < {FINAL} THEN 1 END AS band FROM nodes")
 def bands(spark, sf_dir):
-    return ledger.bands(_tree(spark, sf_dir)[2], [FINAL >> 2, FINAL]).select("lod", "key", "band")
+    return ledger.bands(_nodes(spark, sf_dir), [FINAL >> 2, FINAL]).select("lod", "key", "band")
 
 
 @query(f"WITH {_LEDGER} SELECT name FROM led WHERE NOT done")
