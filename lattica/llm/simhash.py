@@ -4,8 +4,9 @@ Candidate search is an inverted index over byte positions. Two fingerprints that
 at least six of their eight bytes, so they meet in at least one of the 28 lists keyed by six (position, byte) entries.
 A list's key *is* the count filter: a pair shares a list exactly when its tally of equal positional bytes reaches six.
 Distinct fingerprints in one list differ in two bytes only, so a list holds at most 65,536 of them whatever the
-corpus; that bound is what makes it safe to handle a list in one task. Within a list, pairs are verified by bit count
-and only a spanning forest of the links leaves the task, so a dense cluster never yields all its pairs.
+corpus; that bound is what makes it safe to handle a list in one task. Within a short list each pair's tally is counted
+and the pair verified by its differing bits; in a long one, members are tied through the bits that linked members have
+in common. Only a spanning forest of the links leaves the task, so a dense cluster never yields all its pairs.
 
 Rows: null or empty text has fingerprint zero; a null doc_id is kept as a row but names no component other than by
 null, unless a document with an id is reachable. Repeated rows each get a row. Other columns are ignored.
@@ -55,6 +56,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {id_type}, fp long")
 
 
+def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of each pair: at how many of the eight positions its bytes are equal."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs whose tally reaches the least that linked pairs have, verified by their differing bits."""
+    out = _shared_bytes(a, b) >= 8 - bits
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= bits
+    return out
+
+
 def _forest(fp: np.ndarray, run: np.ndarray, family: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within many lists at once (run numbers them): for two members the verified pair; for more, each member is
     tied to the least member that shares it on all but `bits` of the two free bytes' bits. Those ties span the links."""
@@ -63,7 +76,7 @@ def _forest(fp: np.ndarray, run: np.ndarray, family: np.ndarray, bits: int) -> t
     first = np.cumsum(size) - size
     pair = np.flatnonzero(size == 2)
     a, b = fp[first[pair]], fp[first[pair] + 1]
-    near = np.bitwise_count(a ^ b) <= bits
+    near = _linked(a, b, bits)
     src.append(b[near]), dst.append(a[near])
     many = np.flatnonzero(size > 2)
     for r in many:
@@ -71,7 +84,7 @@ def _forest(fp: np.ndarray, run: np.ndarray, family: np.ndarray, bits: int) -> t
         free = [8 * p + k for p in range(8) if p not in _SETS[int(family[first[r]])] for k in range(8)]
         if len(x) <= 24:
             i, j = np.triu_indices(len(x), 1)
-            ok = np.bitwise_count(x[i] ^ x[j]) <= bits
+            ok = _linked(x[i], x[j], bits)
             i, j = i[ok], j[ok]
             root = np.arange(len(x))
             for u, v in zip(i.tolist(), j.tolist(), strict=True):
