@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, in_fold, keyed, mix, save, slices
+from lattica.llm.common import Words, in_fold, keyed, save, slices
 
 SYMBOLS, CLASSES, DICTIONARY = 1024, 16, 1 << 19
 WIDTH, NOISE, SHARED_NOISE, BATCH, SAMPLE, RATE = 24, 8, 128, 2048, 8, 0.05
