@@ -2,9 +2,10 @@
 
 Every pass covers all training documents. (1) Tokens are counted: each task pre-aggregates its own, keyed by a 64-bit
 token hash (with V distinct tokens, V^2 / 2^65 pairs are expected to share one). (2) The model predicts a symbol from
-the two before it; symbols are the most frequent tokens and, for all others, classes by surface form. Each partition
-trains from the same start on its own documents, in minibatches whose number follows the partition's tokens, and the
-parameters are averaged by tokens. (3) Two matrix products turn the parameters into score tables and one more into the
+the two before it; symbols are the most frequent tokens and, for all others, classes by surface form. Training visits
+every token position once, in `ROUNDS` rounds over a part of the documents each. In a round at most `TRAINERS` tasks, to
+which documents are dealt by their row ids, go on from the previous round's parameters, which are averaged by tokens
+after it. So the steps behind the averaged parameters follow the corpus, and the layout of files plays no part. (3) Two matrix products turn the parameters into score tables and one more into the
 normaliser of every context, so token log-probabilities are exact look-ups; a token of a class shares the class's
 probability by its add-one count.
 
@@ -22,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lattica.llm.common import Words, in_fold, keyed, save, slices
 
 SYMBOLS, CLASSES, DICTIONARY = 1024, 16, 1 << 19
-WIDTH, NOISE, SHARED_NOISE, BATCH, SAMPLE, RATE = 24, 8, 128, 2048, 8, 0.05
+WIDTH, NOISE, SHARED_NOISE, BATCH, RATE = 24, 8, 128, 2048, 0.05
+ROUNDS, TRAINERS = 4, 32
 HELD_OUT = (7, 2)
 END = np.array([0x5BF0_3635_16E5_A1C3], dtype=np.uint64)
 
@@ -136,6 +139,7 @@ class LogBilinear:
     target: np.ndarray
     place: np.ndarray
     bias: np.ndarray
+    seen: int = 0
 
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH) -> LogBilinear:
@@ -194,7 +198,7 @@ def contexts(t: Tokens, symbol: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, fold: tuple[int, int] = HELD_OUT) -> LogBilinear:
-    """Each partition trains on its own training documents; the mean by examples is the model."""
+    """The model after all rounds; docs: rid, doc_id, text. `seen` is the number of positions it was trained on."""
     spark = docs.sparkSession
     size = CLASSES + int((vocab.symbol >= 0).sum())
     unigram = np.zeros(size)
@@ -203,41 +207,61 @@ def fit(docs: DataFrame, vocab: Vocabulary, fold: tuple[int, int] = HELD_OUT) ->
     unigram[vocab.symbol[own]] = vocab.count[own]
     unigram = (unigram + 1) / (unigram.sum() + size)
     shared = spark.sparkContext.broadcast(vocab)
+    model = LogBilinear.start(unigram)
+    state = np.full_like(model.flat(), 1e-8)
+    trainers = int(min(max(vocab.n // (ROUNDS * 16 * BATCH), 1), TRAINERS))
+    train = docs.filter(~in_fold("doc_id", *fold)).select("rid", "text").withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(ROUNDS * trainers)).cast("int"))
+    seen = 0
+    for k in range(ROUNDS):
+        part = train.filter(F.col("part") % ROUNDS == k).repartition(trainers, "part").sortWithinPartitions("part", "rid").select("part", "text")
+        got = _round(part, k, shared, unigram, spark.sparkContext.broadcast((model.flat(), state)))
+        n = sum(r["n"] for r in got)
+        if n:
+            flat, state = np.split(sum(np.frombuffer(r["flat"], np.float64) for r in got) / n, 2)
+            model = LogBilinear.of(flat, size)
+            seen += int(n)
+    model.seen = seen
+    return model
+
+
+def _round(part: DataFrame, k: int, shared: Broadcast, unigram: np.ndarray, before: Broadcast) -> list[Row]:
+    """(n, flat) of every trainer of a round: positions seen, and parameters and AdaGrad sums multiplied by them."""
+    size = len(unigram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        model, rng, seen = LogBilinear.start(unigram), np.random.default_rng(7), 0
-        state = [np.full_like(p, 1e-8) for p in (model.word, model.target, model.place, model.bias)]
+        model, sums, rng, seen, at = None, None, None, 0, -1
         held: list[np.ndarray] = []
-        for _, texts in slices(batches):
-            t = Tokens(texts)
-            symbol = vocab.look_up(t)[1]
-            x, y = contexts(t, symbol, vocab.end)
-            # stochastic gradient: a random eighth of the positions, which follows the partition's size
-            at = np.flatnonzero(rng.random(len(symbol)) * SAMPLE < 1)
-            held.append(np.stack([x[at], y[at], symbol[at]]))
-            if sum(h.shape[1] for h in held) >= 64 * BATCH:
-                seen += _steps(model, np.concatenate(held, 1), unigram, rng, state)
-                held = []
-        if held:
-            seen += _steps(model, np.concatenate(held, 1), unigram, rng, state)
-        yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([(model.flat() * seen).astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, flat = 0.0, None
-        for b in batches:
-            for k, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(f, np.float32).astype(np.float64)
-                n, flat = n + k, got if flat is None else flat + got
-        if flat is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
 
-    train = docs.filter(~in_fold("doc_id", *fold)).select("text")
-    parts = train.mapInArrow(run, "n double, flat binary").repartition(16).mapInArrow(total, "n double, flat binary").collect()  # 16 rows
-    n = sum(r["n"] for r in parts)
-    if not n:
-        return LogBilinear.start(unigram)
-    return LogBilinear.of(sum(np.frombuffer(r["flat"], np.float64) for r in parts) / n, size)
+        def close() -> pa.RecordBatch:
+            both = np.concatenate([model.flat(), sums.flat()]) * seen
+            return pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([both.tobytes()], pa.binary())], names=["n", "flat"])
+
+        def learn() -> int:
+            n = _steps(model, np.concatenate(held, 1), unigram, rng, [sums.word, sums.target, sums.place, sums.bias]) if held else 0
+            held.clear()
+            return n
+
+        for batch, texts in slices(batches):
+            of = batch.column("part").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if of[a] != at:
+                    if model is not None:
+                        seen += learn()
+                        yield close()
+                    flat, state = (x.copy() for x in before.value)
+                    model, sums, rng, seen, at = LogBilinear.of(flat, size), LogBilinear.of(state, size), np.random.default_rng((7, k, int(of[a]))), 0, int(of[a])
+                t = Tokens(texts[a:b])
+                symbol = vocab.look_up(t)[1]
+                held.append(np.stack([*contexts(t, symbol, vocab.end), symbol]))
+                if sum(h.shape[1] for h in held) >= 64 * BATCH:
+                    seen += learn()
+        if model is not None:
+            seen += learn()
+            yield close()
+
+    return part.mapInArrow(run, "n double, flat binary").collect()  # at most TRAINERS rows
 
 
 def _steps(model: LogBilinear, triples: np.ndarray, noise: np.ndarray, rng: np.random.Generator, state: list[np.ndarray]) -> int:

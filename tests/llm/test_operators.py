@@ -256,6 +256,15 @@ def test_model_is_normalised_and_learns():
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
+def test_model_trains_on_every_position_whatever_the_files(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    few, many = (common.keyed(docs.repartition(n, "doc_id")) for n in (1, 16))
+    vocab, _ = lm.vocabulary(lm.counts(few))
+    a, b = lm.fit(few, vocab), lm.fit(many, vocab)
+    assert a.seen == b.seen == vocab.n > 100_000
+    assert np.allclose(a.flat(), b.flat(), atol=1e-6)
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
