@@ -98,9 +98,12 @@ class _Member:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.have.find(mark)) < 0:
-            if len(self.have) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """What stands before the mark, of any length: the writer puts whole urls into headers."""
+        begin = 0
+        while (at := self.have.find(mark, begin)) < 0:
+            begin = max(0, len(self.have) - len(mark) + 1)
+            if not self._more():
                 raise ValueError("a header doesn't end")
         out, self.have = self.have[:at], self.have[at + len(mark) :]
         return out

@@ -3,6 +3,7 @@ repeated rows and columns whose names clash with the operators' own."""
 
 import glob
 import hashlib
+import io
 import os
 import random
 import re
@@ -333,6 +334,14 @@ def test_warc_round_trip(spark):
     assert _by(tuple(r)[:5] for r in warc.report(pages).collect()) == _by(want)
 
 
+def test_warc_reads_headers_of_any_length():
+    url = "http://a.example/" + "".join(map(str, range(400_000)))
+    assert len(url) > 2_000_000
+    got = list(warc.records(io.BytesIO(warc.encode(7, url, b"page", None) + warc.encode(8, url, b"page", 7))))
+    assert [(r.page_id, r.refers_to, r.headers["warc-target-uri"] == url, r.payload_bytes) for r in got][0] == (7, None, True, 4)
+    assert got[1].page_id == 8 and got[1].refers_to == 7
+
+
 def test_warc_reader_checks_what_it_reads():
     import gzip
     import io
