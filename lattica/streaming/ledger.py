@@ -1,8 +1,8 @@
 """Incremental ingestion: a ledger of inputs, and a watermark over space.
 
 Inputs are dispatched in the order of their bounding boxes' least Morton codes. The done-Morton bound is the least code
-that an input still to come can hold; nodes wholly below it are final, their samples are built once and emitted as an
-immutable band, and points that arrive below it later are late.
+that an input still to come can hold; nodes wholly below it are final, and points that arrive below it later are late.
+Final nodes are only labelled, with their band: ingest() stores the batches, and builds no samples and writes no bands.
 """
 
 from __future__ import annotations
