@@ -221,40 +221,49 @@ def _order(pieces: DataFrame) -> DataFrame:
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(rid, of array<struct<start,end>>): per row, the byte ranges (not merged) that repeated strings cover."""
     spark = rows.sparkSession
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(save(df, label))
+        return made[-1]
+
     every = save(pieces(rows), "suffix-pieces")
     often = save(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix-keys")
-    held = save(every.join(often, "key"), "suffix-held")
+    held = keep(every.join(often, "key"), "suffix-held")
     drop(every), drop(often), free_shuffles(spark)
-    unlike = save(held.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "starts", "back")).alias("one")).select("key", "content", "n", "one.*"), "suffix-unlike")
-    level = save(unlike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("starts") + LENGTH - 1).alias("size")).filter("kinds > 1"), "suffix-level")
+    unlike = keep(held.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start", "starts", "back")).alias("one")).select("key", "content", "n", "one.*"), "suffix-unlike")
+    level = keep(unlike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("starts") + LENGTH - 1).alias("size")).filter("kinds > 1"), "suffix-level")
     found = [unlike.filter("n > 1").select("key", "content", (F.col("back") - F.col("starts") + 1).cast("long").alias("back_from"), F.col("back").cast("long").alias("back_to"))]
-    contents = save(_fetch(unlike.join(level.select("key"), "key"), rows), "suffix-contents")
+    contents = keep(_fetch(unlike.join(level.select("key"), "key"), rows), "suffix-contents")
     free_shuffles(spark)
-    found.append(save(_order(contents.join(level.filter(F.col("size") <= TEXT_BYTES).select("key"), "key")), "suffix-found"))
+    found.append(keep(_order(contents.join(level.filter(F.col("size") <= TEXT_BYTES).select("key"), "key")), "suffix-found"))
     hot = contents.join(level.filter(F.col("size") > TEXT_BYTES).select("key"), "key")
     width, parents = LENGTH - GRAM + 1, []
     while hot.limit(1).count():
         width = -(-width // WAYS)
-        part = save(_split(hot, width), "suffix-split")
+        part = keep(_split(hot, width), "suffix-split")
         parents.append(part.select("key", "content", "parent_key", "parent_content", F.col("back").cast("long").alias("b"), (F.col("back") - F.octet_length("bytes") + LENGTH).cast("long").alias("a")))
-        unlike_part = save(part.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("back", "bytes")).alias("one")).select("key", "content", "n", "one.*"), "suffix-split-unlike")
-        level = save(unlike_part.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("bytes")).alias("size")).filter("kinds > 1"), "suffix-split-level")
+        unlike_part = keep(part.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("back", "bytes")).alias("one")).select("key", "content", "n", "one.*"), "suffix-split-unlike")
+        level = keep(unlike_part.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.octet_length("bytes")).alias("size")).filter("kinds > 1"), "suffix-split-level")
         small = F.lit(True) if width == 1 else F.col("size") <= TEXT_BYTES
         here = unlike_part.filter("n > 1").select("key", "content", (F.col("back") - F.octet_length("bytes") + LENGTH).cast("long").alias("back_from"), F.col("back").cast("long").alias("back_to"))
-        here = here.union(save(_order(unlike_part.join(level.filter(small).select("key"), "key")), "suffix-split-found"))
+        here = here.union(keep(_order(unlike_part.join(level.filter(small).select("key"), "key")), "suffix-split-found"))
         for up in reversed(parents):  # to the pieces that were split
             here = here.join(up, ["key", "content"]).select(F.col("parent_key").alias("key"), F.col("parent_content").alias("content"), F.greatest("back_from", "a").alias("back_from"), F.least("back_to", "b").alias("back_to")).distinct()
-        found.append(save(here, "suffix-split-up"))
+        found.append(keep(here, "suffix-split-up"))
         if width == 1:
             break
         hot = unlike_part.join(level.filter(F.col("size") > TEXT_BYTES).select("key"), "key")
     ranges = found[0]
     for f in found[1:]:
         ranges = ranges.union(f)
-    placed = held.join(save(ranges, "suffix-ranges"), ["key", "content"])
+    placed = held.join(keep(ranges, "suffix-ranges"), ["key", "content"])
     first = F.col("start") + F.col("back")  # where the anchor is
     placed = placed.select("rid", (first - F.col("back_to")).alias("start"), (first - F.col("back_from") + LENGTH).alias("end"))
-    out = save(placed.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("of")), "suffix-rows")
+    out = keep(placed.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("of")), "suffix-rows")
+    for df in made:
+        if df is not out:
+            drop(df)
     free_shuffles(spark)
     return out
 
