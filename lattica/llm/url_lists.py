@@ -1,7 +1,7 @@
 """URL filters over time: dated list entries, as of each capture's fetch.
 
 A list is a log of changes (kind, pattern, verdict, action 'add' or 'remove', day). Each 'add' holds from its day until
-the next change of the same (kind, pattern); these validity intervals are joined to captures by key and containment.
+the next change of the same (kind, pattern, in lower case); these validity intervals are joined to captures by key and containment.
 A capture's keys are its host's name and every parent domain (kind 'domain'), the words of its host between dots and
 hyphens ('word'), and host plus first path segment ('path'). The longest active pattern decides, 'allow' before
 'block'; without one the decision is 'none'.
@@ -51,9 +51,9 @@ def changes(spark: SparkSession) -> DataFrame:
 
 def intervals(log: DataFrame) -> DataFrame:
     """(kind, pattern, verdict, since, until): half-open; until is null while the entry holds."""
-    whole = log.select("kind", "pattern", "verdict", "action", "day").dropna()
+    whole = log.select("kind", F.lower("pattern").alias("pattern"), "verdict", "action", "day").dropna()
     after = Window.partitionBy("kind", "pattern").orderBy("day", "action", "verdict")
-    return whole.withColumn("until", F.lead("day").over(after)).filter("action = 'add' and (until is null or day < until)").select("kind", F.lower("pattern").alias("pattern"), "verdict", F.col("day").alias("since"), "until")
+    return whole.withColumn("until", F.lead("day").over(after)).filter("action = 'add' and (until is null or day < until)").select("kind", "pattern", "verdict", F.col("day").alias("since"), "until")
 
 
 def with_keys(captures: DataFrame, url: str = "url") -> DataFrame:
@@ -63,7 +63,7 @@ def with_keys(captures: DataFrame, url: str = "url") -> DataFrame:
     first = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]*)", 1)
     keys = F.expr("""
         case when host = '' then array() else array_distinct(concat(
-            transform(sequence(1, size(split(host, '[.]'))), i -> named_struct('kind', 'domain', 'pattern', array_join(slice(split(host, '[.]'), i, 1000), '.'))),
+            transform(sequence(1, size(split(host, '[.]'))), i -> named_struct('kind', 'domain', 'pattern', array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))),
             transform(split(host, '[.-]'), w -> named_struct('kind', 'word', 'pattern', w)),
             array(named_struct('kind', 'path', 'pattern', lower(concat(host, first_segment)))))) end""")
     return captures.withColumn("host", host).withColumn("first_segment", first).withColumn("keys", keys).drop("first_segment")
@@ -98,7 +98,7 @@ base AS (
     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS seg FROM pages),
 keys AS (
-  SELECT page_id, fetched, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, 1000), '.') AS pattern FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM base) a
+  SELECT page_id, fetched, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS pattern FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM base) a
   UNION SELECT page_id, fetched, 'word', unnest(string_split(replace(host, '-', '.'), '.')) FROM base
   UNION SELECT page_id, fetched, 'path', lower(host || seg) FROM base),
 active AS (
