@@ -4,13 +4,15 @@ Both models are fitted on equally many toxic and ordinary labelled documents (at
 the held-out fold). A class counts a bigram by its tokens, and a word, like each of its beginnings of `STEMS`
 characters, by its distinct bigrams. `DISCOUNT` is taken from every count, and what that frees goes to the next
 shorter form: bigram, word, stems, and at last counts shared by both classes. An expression that a class has seen a few
-times only is thus judged by its stem (inflected insults) or, failing that, alike in both classes. A text is read in
+times only is thus judged by its stem (inflected insults) or, failing that, by the counts that the classes share: these
+are kept for the `SHARED` most frequent forms of each length, and rarer ones take the average of all that are left. A text is read in
 passages of `PASSAGE` words: the two log-likelihoods of a passage, divided by its length, are compared, and the text's
 evidence is its worst passage, its mean, and the mean of what exceeds `EXCESS`, plain and weighed by the root of its length.
 A logistic calibration on a third of the sample that the counts don't use turns evidence into a probability at the
 labels' own rate. Scoring runs in Arrow batches over whole texts without a shuffle.
 
-Counts are made by Spark; only n-grams above the discount reach the driver, which the sample's size bounds.
+Counts are made by Spark; the driver receives at most `SHARED` forms of each length and the n-grams above the discount,
+which the sample's size bounds.
 
 Rows: null and empty texts have no passage and zero evidence. Every row gives a row. A null id counts as empty text in
 the fold. Without labels of both kinds, the score is 1 or 0 as the labels are (0 without any).
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, boxed, in_fold, mix, save, slices, unboxed
 
 SAMPLE_ROWS, DISCOUNT, PASSAGE, PREDICT = 3000, 3.0, 6, 0.5
-STEMS, EXCESS = (3, 4, 5, 6), 1.0
+STEMS, EXCESS, SHARED = (3, 4, 5, 6), 1.0, 1 << 18
 FOLD = (5, 0)
 MARKS = np.zeros(256, bool)
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -63,6 +65,7 @@ class KneserNey:
     form: list[np.ndarray]
     form_n: list[np.ndarray]
     form_cut: list[np.ndarray]
+    form_rest: list[float]
     total: np.ndarray
     context: np.ndarray
     context_n: np.ndarray
@@ -75,12 +78,13 @@ class KneserNey:
         """Of each word, log P(word | before, toxic) - log P(word | before, ordinary)."""
         u, first, inverse = np.unique(r.word, return_index=True, return_inverse=True)
         p, above = np.ones((len(u), 2)), np.full(len(u), self.total.sum())
-        for form, n, cut, hashes in zip(self.form, self.form_n, self.form_cut, r.forms, strict=True):
+        for form, n, cut, rest, hashes in zip(self.form, self.form_n, self.form_cut, self.form_rest, r.forms, strict=True):
             at, known = _at(form, hashes[first])
             own = np.where(known[:, None], n[at], 0.0) if len(form) else np.zeros((len(u), 2))
-            share = (own.sum(1) + 0.5) / (above + 1.0)
+            both = np.where(known, own.sum(1), rest)
+            share = (both + 0.5) / (above + 1.0)
             p = (np.maximum(own - DISCOUNT, 0) + cut * p * share[:, None]) / np.maximum(self.total, 1)
-            above = own.sum(1)
+            above = both
         cat, seen = _at(self.context, u)
         p = p[inverse]
         has = np.zeros(len(r.word), bool)
@@ -157,19 +161,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Kneser
     two = lambda df, *cols: np.column_stack([df.column(c).to_numpy() for c in cols]).astype(float).reshape(-1, 2)
     key = lambda df, c: df.column(c).to_numpy().view(np.uint64)
     above = lambda: F.greatest("n0", "n1") > DISCOUNT
-    form, form_n, form_cut, total = [], [], [], np.zeros(2)
+    form, form_n, form_cut, form_rest, total = [], [], [], [], np.zeros(2)
     for name in forms:
         by = base.groupBy(name).agg(F.sum((F.col("n0") > 0).cast("double")).alias("n0"), F.sum((F.col("n1") > 0).cast("double")).alias("n1"))
-        sums = by.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("n0", "n1")), *(F.coalesce(F.sum(F.least(c, F.lit(DISCOUNT))), F.lit(0.0)) for c in ("n0", "n1"))).first()
-        top = by.filter(above()).toArrow()
+        sums = by.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in ("n0", "n1")), *(F.coalesce(F.sum(F.least(c, F.lit(DISCOUNT))), F.lit(0.0)) for c in ("n0", "n1")), F.count(F.lit(1))).first()
+        top = by.orderBy(F.desc(F.greatest("n0", "n1") > DISCOUNT), F.desc(F.col("n0") + F.col("n1")), name).limit(SHARED).toArrow()
         order = np.argsort(key(top, name))
-        form.append(key(top, name)[order]), form_n.append(two(top, "n0", "n1")[order]), form_cut.append(np.array(sums[2:]))
+        form.append(key(top, name)[order]), form_n.append(two(top, "n0", "n1")[order]), form_cut.append(np.array(sums[2:4]))
+        form_rest.append(max(sum(sums[:2]) - float(form_n[-1].sum()), 0.0) / (sums[4] - len(order)) if sums[4] > len(order) else 0.0)
         total = np.array(sums[:2])
     pair = base.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(above()).toArrow()
     context = base.groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *(F.sum(F.least(f"n{k}", F.lit(DISCOUNT))).alias(f"c{k}") for k in (0, 1)), F.max(F.greatest("n0", "n1")).alias("most")).filter(F.col("most") > DISCOUNT).toArrow()
     b, c = (np.argsort(key(t, n)) for t, n in ((context, "v"), (pair, "pair")))
     model = KneserNey(
-        form, form_n, form_cut, total, key(context, "v")[b], two(context, "n0", "n1")[b], two(context, "c0", "c1")[b], key(pair, "pair")[c], two(pair, "n0", "n1")[c],
+        form, form_n, form_cut, form_rest, total, key(context, "v")[b], two(context, "n0", "n1")[b], two(context, "c0", "c1")[b], key(pair, "pair")[c], two(pair, "n0", "n1")[c],
         np.array([0.0] * 4 + [-30.0 if rate < 0.5 else 30.0]),
     )
     if not 0 < rate < 1 or not (model.total > 0).all():
