@@ -1,10 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, after Martello-Toth dominance reduction.
 
 An instance is its histogram of piece lengths: at most `CAPACITY` counts, whatever the corpus. On the driver, the
-reduction fixes sets that dominate every alternative for an item (nothing else fits, a perfect pair, the largest
-fitting item where no two fit), again and again while the instance shrinks; best-fit decreasing packs the rest. Both
-work on counts: a pattern of lengths is used so many times. The plan has at most a few patterns a length and is the
-only thing that is sent to the tasks. Each piece finds its pattern and its place by its rank among pieces of its
+reduction fixes sets of one, two or three items that dominate every alternative for an item, again and again while the
+instance shrinks; best-fit decreasing packs the rest. Both work on counts: a pattern of lengths is used so many times.
+The plan has at most a few patterns a length, however many pieces there are, and is the only thing sent to the tasks. Each piece finds its pattern and its place by its rank among pieces of its
 length, which is a count within its partition plus the counts of the partitions before.
 
 Rows: null or empty text is a document of the end id alone. Repeated documents are packed each. The piece table is
@@ -112,36 +111,59 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) ->
 Pattern = tuple[tuple[int, ...], int]
 
 
+def _beside(left: Counter[int], big: int, capacity: int) -> tuple[int, ...] | None:
+    """What dominates every other choice beside an item of length `big`: none, one or two lengths; None: no rule holds.
+
+    Let k items at most fit beside it. Nothing fits: it stands alone. One fits, or the largest that fits fills the rest:
+    that one. Two fit: the largest alone, if it is no less than the best pair; or the best pair (a, b), if a is the
+    largest that fits and every pair that fits has a member of at most b."""
+    room = capacity - big
+    others = sorted(k for k in left if k <= room and left[k] > (k == big))
+    if not others:
+        return ()
+    number = lambda k: left[k] - (k == big)
+    least = [k for k in others[:3] for _ in range(min(number(k), 3))][:3]
+    best = others[-1]
+    if best == room or sum(least[:2]) > room or len(least) < 2:
+        return (best,)
+    if len(least) > 2 and sum(least) <= room:
+        return None
+    pair = (0, 0)
+    low = 0
+    for high in reversed(others):  # the largest partner of each grows as it shrinks
+        while low < len(others) and others[low] + high <= room:
+            low += 1
+        k = min(low - 1, others.index(high) - (number(high) < 2)) if low else -1
+        if k >= 0 and others[k] + high > sum(pair):
+            pair = (high, others[k])
+    if best >= sum(pair):
+        return (best,)
+    a, b = pair
+    if a != best:
+        return None
+    between = [k for k in others if k > b for _ in range(min(number(k) - (k == a), 2))][:2]
+    return pair if len(between) < 2 or sum(between) > room else None
+
+
 def reduce(count: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns that are part of some optimal packing, and the counts that remain."""
+    """Patterns that are part of some optimal packing, and the counts that remain.
+
+    What dominates for one item does so for all of its length while its partners last, so a pattern is fixed as often as
+    they do. Each pattern uses up a length, but for an odd rest of one; there are at most two a length."""
     left = Counter({k: n for k, n in count.items() if n})
     fixed: list[Pattern] = []
-
-    def fix(lengths: tuple[int, ...], times: int) -> None:
-        fixed.append((lengths, times))
-        for x in lengths:
-            left[x] -= times
-            if not left[x]:
-                del left[x]
-
     changed = True
     while changed:
         changed = False
         for big in sorted(left, reverse=True):
-            while left.get(big):
-                room = capacity - big
-                others = sorted(k for k in left if k <= room and (k != big or left[k] > 1))
-                if not others:
-                    fix((big,), left[big])
-                    changed = True
-                    continue
-                best = others[-1]
-                least = others[0]
-                spare = left[least] - (least == big)
-                second = least if spare > 1 else others[1] if len(others) > 1 else capacity + 1
-                if best != room and least + second <= room:
-                    break  # two items fit beside it and none fills it: nothing dominates here
-                fix((big, best), left[big] // 2 if best == big else min(left[big], left[best]) if best == room else 1)
+            while left.get(big) and (beside := _beside(left, big, capacity)) is not None:
+                lengths = (big, *beside)
+                times = min(left[x] // n for x, n in Counter(lengths).items())
+                fixed.append((lengths, times))
+                for x in lengths:
+                    left[x] -= times
+                    if not left[x]:
+                        del left[x]
                 changed = True
     return fixed, dict(left)
 
