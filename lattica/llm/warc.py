@@ -8,7 +8,8 @@ table, names the files of the attempts that succeeded, so a repeated task leaves
 Reading: a task streams its file, decompresses it incrementally, frames each block by its content length and checks
 the block and payload digests. Memory is bounded by the read size and the header, whatever a record's length.
 
-Rows: null html is an empty payload. A null page_id is written without an id and read back as null; it never is the
+Rows: null html is an empty payload; a null url is not written and is read back as null. An id of any type is written as
+its text, percent-encoded. A null page_id is written without an id and read back as null; it never is the
 record that others refer to. Of repeated rows with the smallest id, each is a response.
 """
 
@@ -22,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import save, scratch, texts_of
 
-MIN_REVISIT_BYTES, FILE_BYTES, READ_BYTES, LEVEL = 0, 256_000_000, 1 << 16, 4
+MIN_REVISIT_BYTES, FILE_BYTES, READ_BYTES, LEVEL, SMALL_TABLE = 0, 256_000_000, 1 << 16, 4, 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -38,20 +40,21 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _id(page_id: object) -> str:
+    return "<urn:page-without-id>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
-def encode(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def encode(page_id: object, url: str | None, payload: bytes, refers_to: object) -> bytes:
     """One record as one gzip member."""
     digest = _base32(hashlib.sha1(payload).digest())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_id(page_id)}", f"WARC-Target-URI: {uri}", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(block).digest())}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
+    if url is not None:
+        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_id(refers_to)}"]
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -66,17 +69,17 @@ class Record:
     payload: bytes | None
 
     @property
-    def page_id(self) -> int | None:
+    def page_id(self) -> str | None:
         return _page(self.headers["warc-record-id"])
 
     @property
-    def refers_to(self) -> int | None:
+    def refers_to(self) -> str | None:
         return _page(self.headers["warc-refers-to"]) if "warc-refers-to" in self.headers else None
 
 
-def _page(uri: str) -> int | None:
-    value = uri.strip("<>").rpartition(":")[2]
-    return None if value == "none" else int(value)
+def _page(uri: str) -> str | None:
+    value = uri.strip("<>")
+    return unquote(value.removeprefix("urn:page:")) if value.startswith("urn:page:") else None
 
 
 class _Member:
@@ -161,12 +164,15 @@ def records(stream: BinaryIO, keep: bool = True) -> Iterator[Record]:
 
 
 def plan(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, refers_to: null for a response."""
+    """page_id, url, html, refers_to: null for a response. Pages only cross a shuffle to meet the table of revisits where
+    that has more than `SMALL_TABLE` rows; up to there it goes to the pages."""
     body = F.coalesce("html", F.lit(""))
     meta = pages.select("page_id", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size")).filter(F.col("size") >= least)
     first = meta.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     again = meta.select("page_id", "digest").distinct().join(first, "digest").filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to")
+    again = save(again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to"), "warc-revisits")
+    if again.count() <= SMALL_TABLE:
+        again = F.broadcast(again)
     mine = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
     return mine.join(again, mine["page_id"].eqNullSafe(again["again_id"]) & (mine["digest"] == again["again_digest"]), "left").select("page_id", "url", "html", "refers_to")
 
@@ -200,10 +206,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return save(plan(pages).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
 
-def read(manifest: DataFrame, folder: str) -> DataFrame:
+def read(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record; one task per archive."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -212,7 +218,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 rows, n = [], 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for r in records(stream, keep=False):
-                        rows.append((r.page_id, r.payload_bytes, r.payload_digest, r.headers["warc-type"], r.refers_to, r.headers["warc-target-uri"]))
+                        rows.append((r.page_id, r.payload_bytes, r.payload_digest, r.headers["warc-type"], r.refers_to, r.headers.get("warc-target-uri")))
                         n += 1
                         if len(rows) == 8192:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -222,10 +228,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.repartition(max(manifest.count(), 1)).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    got = manifest.repartition(max(manifest.count(), 1)).mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
+    return got.withColumns({n: F.col(n).cast(id_type) for n in ("page_id", "refers_to")})
 
 
 def report(pages: DataFrame) -> DataFrame:
     """Round trip of the whole table: write the archives, then return what reading them gives."""
     folder = scratch(pages.sparkSession, "warc")
-    return read(write(pages, folder), folder)
+    return read(write(pages, folder), folder, pages.schema["page_id"].dataType.simpleString())
