@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +102,8 @@ class FmIndex:
         self.tree = WaveletMatrix(self.bwt, symbols + 1)
         starts = np.concatenate([[True], stop[:-1]])
         self.kept = (starts | (np.arange(self.n) % sample == 0))[sa]
-        self.place = sa
+        self.before = np.cumsum(self.kept, dtype=np.int32) - 1  # a kept row's place among the kept ones
+        self.place = sa[self.kept]
 
     def search(self, patterns: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of all patterns (right-aligned in a matrix) by backward search."""
@@ -124,7 +125,7 @@ class FmIndex:
         while len(live):
             done = self.kept[at[live]]
             end = live[done]
-            out[end] = self.place[at[end]] + steps[end]
+            out[end] = self.place[self.before[at[end]]] + steps[end]
             live = live[~done]
             c = self.bwt[at[live]]
             at[live] = self.first[c] + self.tree.rank(c, at[live])
@@ -172,17 +173,26 @@ def shard_hits(ids: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarra
     return at[index.locate(rows)], window
 
 
-def byte_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Merged stretches of hit words, as byte offsets in the text."""
-    out: list[tuple[int, int]] = []
+def hit_ranges(text: bytes, hit: np.ndarray | None) -> list[dict[str, int]]:
+    """Stretches of hit words: as word numbers [start, end), and as byte offsets [first, last)."""
+    out: list[dict[str, int]] = []
+    if hit is None:
+        return out
     before = False
-    for m, h in zip(_WORD.finditer(text.lower()), hit.tolist(), strict=True):
-        if h:
-            out.append((out.pop()[0] if before else m.start(), m.end()))
+    for k, (m, h) in enumerate(zip(_WORD.finditer(text.lower()), hit.tolist(), strict=True)):
+        if h and before:
+            out[-1] |= {"end": k + 1, "last": m.end()}
+        elif h:
+            out.append({"start": k, "end": k + 1, "first": m.start(), "last": m.end()})
         before = h
     return out
 
 
+def without(text: bytes, hits: list[dict[str, int]]) -> str:
+    edge = [0, *(x for h in hits for x in (h["first"], h["last"])), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)).decode()
+
+
 def _search(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[int], list[np.ndarray | None], list[set[str]]]]:
     """Shard by shard: the rows, their texts, word counts, hit words (None: none) and items."""
     held: list[tuple[pa.RecordBatch, list[bytes]]] = []
@@ -241,82 +251,94 @@ def blocks(benchmark: DataFrame, limit: int = BENCH_BYTES) -> Iterator[Benchmark
     yield Benchmark(held)
 
 
-_SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, hit_words array<struct<start:long,end:long>>, items array<string>"
+_HITS = "array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>"
 
 
-def spans(docs: DataFrame, bench: Benchmark, id_cols: list[str]) -> DataFrame:
-    """id_cols, n_words, spans (byte offsets), hit_words (word offsets, merged), items (sorted): one row per document."""
+def hits(docs: DataFrame, bench: Benchmark, id_cols: list[str]) -> DataFrame:
+    """id_cols, n_words, hits (merged, in order), items (sorted): one row per document, against one block."""
     shared = docs.sparkSession.sparkContext.broadcast(bench)  # of BENCH_BYTES of text at most
     ids = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    ranges = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "last")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, n, hits, items in _search(batches, shared.value):
-            at = [[] if h is None else [{"start": a, "end": b} for a, b in byte_spans(t, h)] for t, h in zip(texts, hits, strict=True)]
-            run_of = [[] if h is None else [{"start": int(a), "end": int(b)} for a, b in zip(*np.flatnonzero(np.diff(h.view(np.int8), prepend=0, append=0)).reshape(-1, 2).T, strict=True)] for h in hits]
-            cols = [part.column(c) for c in id_cols] + [pa.array(n, pa.int64()), pa.array(at, pairs), pa.array(run_of, pairs), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*id_cols, "n_words", "spans", "hit_words", "items"])
+        for part, texts, n, hit, items in _search(batches, shared.value):
+            cols = [pa.array(n, pa.int64()), pa.array([hit_ranges(t, h) for t, h in zip(texts, hit, strict=True)], ranges), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in id_cols), *cols], names=[*id_cols, "n_words", "hits", "items"])
+
+    return docs.select(*id_cols, "text").mapInArrow(run, f"{ids}, n_words long, hits {_HITS}, items array<string>")
+
 
-    return docs.select(*id_cols, "text").mapInArrow(run, f"{ids}, {_SCHEMA}")
+#: SQL: the ranges that several blocks found in a text, merged where their words overlap or follow one another.
+_MERGED = f"""aggregate(array_sort(hits), cast(array() as {_HITS}), (a, x) -> case when size(a) > 0 and element_at(a, -1).end >= x.start
+    then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last))))
+    else concat(a, array(x)) end)"""
 
 
-def merged(column: str) -> str:
-    """SQL: overlapping or touching ranges of an array, merged."""
-    return f"aggregate(array_sort({column}), cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).end >= x.start then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))) else concat(a, array(x)) end)"
+def _every_block(rows: DataFrame, found: Iterator[Benchmark]) -> DataFrame:
+    """rid, n_words, hits, items against all blocks; each block's findings are a written table. rows: rid, text."""
+    parts = None
+    for bench in found:
+        part = save(hits(rows, bench, ["rid"]), "decontam-block")
+        parts = part if parts is None else parts.union(part)
+    whole = parts.groupBy("rid").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items")))  # a row a block
+    return whole.select("rid", "n_words", F.expr(_MERGED).alias("hits"), F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, spans, hit_words, items of each document against the whole benchmark."""
-    found = blocks(benchmark)
+def _first_two(benchmark: DataFrame, limit: int) -> tuple[Benchmark, Iterator[Benchmark] | None]:
+    """The first block; and all of them, first one included, if there are several."""
+    found = blocks(benchmark, limit)
     first = next(found)
     second = next(found, None)
-    if second is None:
-        return spans(docs.select("doc_id", "text"), first, ["doc_id"])
+    return first, None if second is None else chain([first, second], found)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, limit: int = BENCH_BYTES) -> DataFrame:
+    """doc_id, n_words, hits, items of each document against the whole benchmark."""
+    first, every = _first_two(benchmark, limit)
+    if every is None:
+        return hits(docs.select("doc_id", "text"), first, ["doc_id"])
     rows = keyed(docs, label="decontam-keyed")
-    parts = save(spans(rows, first, ["rid", "doc_id"]), "decontam-block")
-    while second is not None:
-        parts = parts.union(save(spans(rows, second, ["rid", "doc_id"]), "decontam-block"))
-        second = next(found, None)
-    whole = parts.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "hit_words", "items")))
-    return whole.select("doc_id", "n_words", F.expr(merged("spans")).alias("spans"), F.expr(merged("hit_words")).alias("hit_words"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return rows.select("rid", "doc_id").join(_every_block(rows, every), "rid").select("doc_id", "n_words", "hits", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns, and the merged byte spans."""
+    """The contract's columns."""
     return search(docs, benchmark).select(
-        "doc_id", "n_words", F.expr("aggregate(hit_words, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", F.expr("aggregate(hits, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= MIN_ITEMS).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents' own columns: contaminated documents are gone, and hit passages are cut from the others.
+def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BENCH_BYTES) -> DataFrame:
+    """The documents' own columns: rows of `MIN_ITEMS` items or more are gone, and the merged passages of fewer are cut
+    from the others, once, as the input has them. Rows are judged each by itself, whatever their ids; the result is the
+    same for any `limit` of the benchmark's blocks."""
+    first, every = _first_two(benchmark, limit)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
 
-    Items found in different blocks of a benchmark of several blocks are counted together."""
-    found = list(blocks(benchmark))
-    rows = boxed(docs).withColumn("chars", F.lit(None).cast("long"))
-    if len(found) == 1:
-        return unboxed(_cut(rows, found[0], MIN_ITEMS), docs)
-    dirty = search(docs, benchmark).filter(F.size("items") >= MIN_ITEMS).select(F.col("doc_id").alias("dirty")).distinct()
-    rows = rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty")), "left_anti")
-    for b in found:
-        rows = _cut(rows, b, None)
-    return unboxed(rows, docs)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts, _, hit, items in _search(batches, shared.value):
+            keep = [len(i) < MIN_ITEMS for i in items]
+            yield _cut(part, [hit_ranges(t, h) if k else [] for t, h, k in zip(texts, hit, keep, strict=True)]).filter(pa.array(keep, pa.bool_()))
 
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield _cut(part, part.column("hits").to_pylist())
 
-def _cut(rows: DataFrame, bench: Benchmark, most: int | None) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(bench)
-    names = ["doc_id", "text", "row", "chars"]
+    rows = boxed(docs).select("doc_id", "text", "row")
+    schema = f"text string, row {rows.schema['row'].dataType.simpleString()}, chars long"
+    if every is None:
+        return unboxed(rows.mapInArrow(one, schema), docs)
+    rows = keyed(rows, columns=("text", "row"), label="decontam-keyed")
+    ordinary = _every_block(rows, every).filter(F.size("items") < MIN_ITEMS).select("rid", "hits")
+    return unboxed(rows.join(ordinary, "rid").select("text", "row", "hits").mapInArrow(several, schema), docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts, _, hits, items in _search(batches, shared.value):
-            keep = pa.array([most is None or len(x) < most for x in items])
-            new, chars = part.column("text").to_pylist(), part.column("chars").to_pylist()
-            for i, h in enumerate(hits):
-                if h is not None:
-                    edge = [0, *(x for s in byte_spans(texts[i], h) for x in s), len(texts[i])]
-                    new[i] = b"".join(texts[i][a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)).decode()
-                    chars[i] = len(new[i])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(new, pa.string()), part.column("row"), pa.array(chars, pa.int64())], names=names).filter(keep)
-
-    return rows.select(*names).mapInArrow(run, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names))
+
+def _cut(part: pa.RecordBatch, hits: list[list[dict[str, int]]]) -> pa.RecordBatch:
+    new = part.column("text").to_pylist()
+    chars: list[int | None] = [None] * len(new)
+    for i, h in enumerate(hits):
+        if h:
+            new[i] = without(new[i].encode(), h)
+            chars[i] = len(new[i])
+    return pa.RecordBatch.from_arrays([pa.array(new, pa.string()), part.column("row"), pa.array(chars, pa.int64())], names=["text", "row", "chars"])
