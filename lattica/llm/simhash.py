@@ -23,25 +23,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import boxed, keyed, save, shared_dir, slices, unboxed
+from lattica.llm.common import boxed, drop, keyed, save, shared_dir, slices, unboxed
 
-WIDTH, BITS, SEED = 3, 2, 42
+WIDTH, BITS, SEED, CHUNK = 3, 2, 42, 1 << 16
 
 _SETS = [tuple(p for p in range(8) if p not in gone) for gone in combinations(range(8), 2)]
 #: For each list family: the bits that its six byte positions cover.
 MASKS = np.array([sum(0xFF << (8 * p) for p in kept) for kept in _SETS], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, width: int = WIDTH) -> int:
+def majority(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each text's fingerprint: the bits that are set in over half of its hashes, which follow one another text by text.
+
+    Bits are unpacked for `CHUNK` hashes at a time, whatever a text's length."""
+    doc = np.repeat(np.arange(len(size)), size)
+    sums = np.zeros((len(size), 64), np.int64)
+    for a in range(0, len(hashes), CHUNK):
+        some = doc[a : a + CHUNK]
+        first = np.flatnonzero(np.diff(some, prepend=-1))
+        bits = np.unpackbits(hashes[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[some[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(sums * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        hashes = [xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))]
-    bits = np.unpackbits(np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(words) - width + 1)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -50,8 +60,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            fp = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=[id_col, "fp"])
+            hashes = [shingle_hashes(t) for t in texts]
+            fp = majority(np.concatenate(hashes), np.array([len(h) for h in hashes]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
 
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {id_type}, fp long")
 
@@ -168,6 +179,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst"))
         new = save(small.filter("src <> dst").distinct(), label)
+        drop(e)
         # done when every edge leads to a root: no node is both a source of one edge and the end of another, nor has two ends
         open_ = new.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() or new.select(F.col("dst").alias("src")).distinct().join(new.select("src"), "src", "left_semi").limit(1).count()
         e = new
