@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; a longer text is a block of its own.
@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, where no other machine has to
+    see it, one of our own will do if that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:///tmp/lattica-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
@@ -35,11 +38,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lattica/{label}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them back."""
+def save(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder (in folders by these columns) and read them back."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lattica_path = path
     return out
@@ -67,13 +70,16 @@ def in_fold(key: str | Column, modulus: int, remainder: int) -> Column:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", columns: Sequence[str] = ("text",), label: str = "keyed") -> DataFrame:
-    """(rid long, id_col, *columns): rid names one row. It is the id itself where ids are unique and not null;
-    otherwise the rows are numbered once in a written table, so that every later read sees the same numbers."""
+    """(rid long, id_col, *columns): rid names one row. It is the id itself where ids are whole numbers, unique and not
+    null; otherwise the rows are numbered once in a written table, so that every later read sees the same numbers."""
     docs = docs.select(id_col, *columns)
+    number = lambda: save(docs.select(F.monotonically_increasing_id().alias("rid"), id_col, *columns), label)
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        return number()
     ids = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     if ids.filter((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count() == 0:
         return docs.select(F.col(id_col).cast("long").alias("rid"), id_col, *columns)
-    return save(docs.select(F.monotonically_increasing_id().alias("rid"), id_col, *columns), label)
+    return number()
 
 
 def boxed(docs: DataFrame) -> DataFrame:
@@ -174,8 +180,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, fold: int = 5) -> DataFrame:
-    """(doc_id, text, y): at most `rows` labelled documents outside fold remainder 0, chosen by a hash of the id alone.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, fold: int = 5, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y): at most `rows` labelled documents outside fold remainder 0, chosen by a hash of the id alone;
+    of these, with `most_bytes`, as many as hold so much text together, those of a 64th of it or less first.
 
     The bound is what lets the ids be broadcast. Null ids and null labels are left out; an id labelled twice counts
     once, with its larger label; an id of several documents gives the first of them by text."""
@@ -184,4 +191,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int,
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    if most_bytes is None:
+        return sample
+    size = F.octet_length("text").cast("long")
+    order = Window.orderBy(size > most_bytes // 64, F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over `rows` rows at most
+    return sample.withColumn("upto", F.sum(size).over(order)).filter(F.col("upto") <= most_bytes).drop("upto")

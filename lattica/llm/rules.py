@@ -1,8 +1,8 @@
 """Quality rules: counted text measures, a base rule on them, and a hashed n-gram logistic model for the verdict.
 
-The model takes hashed word 1-grams, word 2-grams and byte 3-grams; a document's logit is the sum over the three kinds
+The model takes hashed word 1-grams, word 2-grams and character 3-grams; a document's logit is the sum over the three kinds
 of the mean weight of its n-grams, so length does not matter. It is fitted in numpy on a bounded sample of labelled
-rows (`SAMPLE_ROWS`), its logits are turned into probabilities by a logistic calibration on a fifth of that sample, and
+rows (at most `SAMPLE_ROWS` of them and, as their texts are sent to the driver, `SAMPLE_BYTES` of text), its logits are turned into probabilities by a logistic calibration on a fifth of that sample, and
 whole texts are scored in Arrow batches against the fixed `KEEP` threshold. A lost executor costs its batches only.
 
 Rows: a null text has no words and fails the base rule. Every row gives a row. Without labels of both kinds the model
@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from lattica.llm.common import Words, labelled_sample, mix, slices
 
-SAMPLE_ROWS, HASH_BITS, KEEP, EPOCHS = 4000, 16, 0.3, 60
+SAMPLE_ROWS, SAMPLE_BYTES, HASH_BITS, KEEP, EPOCHS = 4000, 64_000_000, 16, 0.3, 60
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _ODD = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x51ED270B0F for k in range(1, 9)], dtype=np.uint64) | np.uint64(1)
@@ -67,12 +68,13 @@ def features(w: Words, h: np.ndarray, bits: int = HASH_BITS) -> list[tuple[np.nd
     kinds = [((h >> shift).astype(np.int32), w.doc)]
     two = np.flatnonzero(w.doc[:-1] == w.doc[1:]) if len(h) > 1 else np.zeros(0, np.int64)
     kinds.append(((mix(h[two] * _ODD[0] + h[two + 1] * _ODD[1]) >> shift).astype(np.int32) + slots, w.doc[two]))
-    b = w.buf.astype(np.uint32)
-    three = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits) if len(b) > 2 else np.zeros(0, np.uint32)
-    size = np.maximum(w.doc_end - w.doc_start - 3, 0)  # without the line feed after a text
-    doc = np.repeat(np.arange(w.n), size)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.doc_start, size)
-    kinds.append((three[at].astype(np.int32) + 2 * slots, doc))
+    raw = w.buf.tobytes()
+    chars = [raw[a : b - 1].decode("utf-8", "replace").encode("utf-32-le") for a, b in zip(w.doc_start.tolist(), w.doc_end.tolist(), strict=True)]
+    c = np.frombuffer(b"".join(chars), np.uint32).astype(np.uint64)
+    doc = np.repeat(np.arange(w.n), [len(x) // 4 for x in chars])
+    at = np.flatnonzero(doc[:-2] == doc[2:]) if len(doc) > 2 else np.zeros(0, np.int64)
+    three = mix(c[at] | c[at + 1] << np.uint64(21) | c[at + 2] << np.uint64(42))
+    kinds.append(((three >> shift).astype(np.int32) + 2 * slots, doc[at]))
     return kinds
 
 
@@ -133,15 +135,11 @@ def fit(texts: list[bytes], y: np.ndarray, bits: int = HASH_BITS, epochs: int =
     return NgramModel(weights.astype(np.float32), bias, float(max(scale, 1e-3)), float(shift), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> NgramModel:
-    got = sorted(labelled_sample(docs, labels, "quality", rows).collect(), key=lambda r: hash_order(r["doc_id"]))
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> NgramModel:
+    got = sorted(labelled_sample(docs, labels, "quality", rows, most_bytes=most_bytes).collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["text"]))
     return fit([r["text"].encode() for r in got], np.array([r["y"] for r in got]))
 
 
-def hash_order(doc_id: int) -> int:
-    return int(mix(np.array([doc_id], dtype=np.int64).view(np.uint64))[0])
-
-
 def score(docs: DataFrame, model: NgramModel, keep: float = KEEP) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 << HASH_BITS floats, whatever the corpus
