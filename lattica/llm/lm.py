@@ -2,12 +2,14 @@
 
 Every pass covers all training documents. (1) Tokens are counted: each task pre-aggregates its own, keyed by a 64-bit
 token hash (with V distinct tokens, V^2 / 2^65 pairs are expected to share one). (2) The model predicts a symbol from
-the two before it; symbols are the most frequent tokens and, for all others, classes by surface form. Training visits
-every token position once, in `ROUNDS` rounds over a part of the documents each. In a round at most `TRAINERS` tasks, to
-which documents are dealt by their row ids, go on from the previous round's parameters, which are averaged by tokens
-after it. So the steps behind the averaged parameters follow the corpus, and the layout of files plays no part. (3) Two matrix products turn the parameters into score tables and one more into the
-normaliser of every context, so token log-probabilities are exact look-ups; a token of a class shares the class's
-probability by its add-one count.
+the two before it; symbols are the most frequent tokens (at most `SYMBOLS`) and, for all others, classes by surface
+form. The documents' symbols are written as a table of rounds; training visits every position once. In a round, trainers
+to which documents are dealt by their row ids go on from the previous round's parameters, and these are averaged by
+positions after it. A trainer has `TASK` positions a round, so the trainers' number follows the corpus, and so does the
+number of rounds up to `MOST_ROUNDS` (`schedule`): neither a task nor the driver's part grows, and the layout of files
+plays no part. (3) Two matrix products turn the parameters into score tables and one more into the normaliser of every
+context, so token log-probabilities are exact look-ups; a token of a class shares the class's probability by its add-one
+count.
 
 What tasks receive is bounded: `DICTIONARY` token counts and `SYMBOLS`^2 scores. Counts of all other tokens stay in a
 distributed table; the documents' rare tokens meet it in a join.
@@ -18,20 +20,21 @@ count and each get a row; with no training document, every token is unknown.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Row
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Words, in_fold, keyed, save, slices
+from lattica.llm.common import Words, drop, in_fold, keyed, save, slices
 
-SYMBOLS, CLASSES, DICTIONARY = 1024, 16, 1 << 19
+SYMBOLS, CLASSES, DICTIONARY = 2048, 16, 1 << 19
 WIDTH, NOISE, SHARED_NOISE, BATCH, RATE = 24, 8, 128, 2048, 0.05
-ROUNDS, TRAINERS = 4, 32
+ROUNDS, MOST_ROUNDS, TASK, FEW = 4, 16, 1 << 22, 64
 HELD_OUT = (7, 2)
 END = np.array([0x5BF0_3635_16E5_A1C3], dtype=np.uint64)
 
@@ -131,6 +134,16 @@ def vocabulary(table: DataFrame, symbols: int = SYMBOLS, most: int = DICTIONARY)
     return Vocabulary(total, sum(r["v"] for r in steps), h.view(np.uint64)[by_hash], c[by_hash], symbol[by_hash], class_n, class_v, CLASSES if len(end) else 0), least
 
 
+def _gather(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of g by their places."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    out = np.zeros((size, g.shape[1]), np.float32)
+    out[places[first]] = np.add.reduceat(g[order], first, axis=0)
+    return out
+
+
 @dataclass
 class LogBilinear:
     """Score of symbol w after (x, y): (word[x] @ place[0] + word[y] @ place[1]) . target[w] + bias[w]."""
@@ -144,11 +157,14 @@ class LogBilinear:
     @classmethod
     def start(cls, unigram: np.ndarray, width: int = WIDTH) -> LogBilinear:
         r = np.random.default_rng(42)
-        draw = lambda *shape: r.normal(0, 0.1, shape)
-        return cls(draw(len(unigram), width), draw(len(unigram), width), np.stack([np.eye(width)] * 2), np.log(unigram))
+        draw = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
+        return cls(draw(len(unigram), width), draw(len(unigram), width), np.stack([np.eye(width, dtype=np.float32)] * 2), np.log(unigram).astype(np.float32))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.word, self.target, self.place, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.word, self.target, self.place, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     @classmethod
     def of(cls, flat: np.ndarray, symbols: int, width: int = WIDTH) -> LogBilinear:
@@ -157,111 +173,138 @@ class LogBilinear:
 
     def train(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, noise: np.ndarray, rng: np.random.Generator, state: list[np.ndarray]) -> None:
         """One noise-contrastive AdaGrad step; the noise symbols are drawn once for the minibatch and weighted."""
-        n, k = len(w), SHARED_NOISE
-        drawn = np.searchsorted(np.cumsum(noise), rng.random(k)).clip(0, len(noise) - 1)
-        q1, q2 = self.word @ self.place[0], self.word @ self.place[1]
-        q = q1[x] + q2[y]
-        data = (q * self.target[w]).sum(1) + self.bias[w] - np.log(NOISE * noise[w])
-        false = q @ self.target[drawn].T + self.bias[drawn] - np.log(NOISE * noise[drawn])
+        n, k, size = len(w), SHARED_NOISE, len(self.bias)
+        drawn = np.searchsorted(np.cumsum(noise), rng.random(k)).clip(0, size - 1)
+        expected = np.log(NOISE * noise).astype(np.float32)
+        q = (self.word @ self.place[0])[x] + (self.word @ self.place[1])[y]
+        aim = self.target[w]
+        data = np.einsum("ij,ij->i", q, aim) + self.bias[w] - expected[w]
+        false = q @ self.target[drawn].T + (self.bias[drawn] - expected[drawn])
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        up, down = (1 - sigmoid(data)) / n, sigmoid(false) * (NOISE / k / n)
-        g_q = up[:, None] * self.target[w] - down @ self.target[drawn]
-        size = len(self.bias)
-        gather = lambda at, g: np.stack([np.bincount(at, weights=col, minlength=size) for col in g.T], 1)
-        g_target = gather(w, up[:, None] * q)
+        up, down = ((1 - sigmoid(data)) / n).astype(np.float32), sigmoid(false) * np.float32(NOISE / k / n)
+        g_q = up[:, None] * aim - down @ self.target[drawn]
+        g_target = _gather(w, up[:, None] * q, size)
         np.subtract.at(g_target, drawn, down.T @ q)
-        g_bias = np.bincount(w, weights=up, minlength=size) - np.bincount(drawn, weights=down.sum(0), minlength=size)
-        g1, g2 = gather(x, g_q), gather(y, g_q)
+        g_bias = (np.bincount(w, weights=up, minlength=size) - np.bincount(drawn, weights=down.sum(0), minlength=size)).astype(np.float32)
+        g1, g2 = _gather(x, g_q, size), _gather(y, g_q, size)
         g_word = g1 @ self.place[0].T + g2 @ self.place[1].T
         g_place = np.stack([self.word.T @ g1, self.word.T @ g2])
-        for value, g, s in zip((self.word, self.target, self.place, self.bias), (g_word, g_target, g_place, g_bias), state, strict=True):
+        for value, g, s in zip(self.parts(), (g_word, g_target, g_place, g_bias), state, strict=True):
             s += g * g
-            value += RATE * g / np.sqrt(s)
+            value += np.float32(RATE) * g / np.sqrt(s)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(one, two, log_z): log P(w | x, y) = one[x, w] + two[y, w] - log_z[x, y], normalised over all symbols."""
-        one = self.word @ self.place[0] @ self.target.T
-        two = self.word @ self.place[1] @ self.target.T + self.bias
+        word, target, place, bias = (x.astype(np.float64) for x in self.parts())
+        one = word @ place[0] @ target.T
+        two = word @ place[1] @ target.T + bias
         a, b = one.max(1, keepdims=True), two.max(1, keepdims=True)
         log_z = np.log(np.exp(one - a) @ np.exp(two - b).T) + a + b.T
         return one.astype(np.float32), two.astype(np.float32), log_z.astype(np.float32)
 
 
-def contexts(t: Tokens, symbol: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+def contexts(text: np.ndarray, symbol: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two symbols before each token; before a text's first token stand ends."""
     x, y = np.full(len(symbol), end, np.int64), np.full(len(symbol), end, np.int64)
     if len(symbol) > 1:
-        y[1:] = np.where(t.text[1:] == t.text[:-1], symbol[:-1], end)
+        y[1:] = np.where(text[1:] == text[:-1], symbol[:-1], end)
     if len(symbol) > 2:
-        x[2:] = np.where(t.text[2:] == t.text[:-2], symbol[:-2], end)
+        x[2:] = np.where(text[2:] == text[:-2], symbol[:-2], end)
     return x, y
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, fold: tuple[int, int] = HELD_OUT) -> LogBilinear:
+def schedule(positions: int, task: int = TASK) -> tuple[int, int]:
+    """(rounds, trainers) for so many positions."""
+    tasks = -(-positions // task)
+    rounds = min(max(ceil(tasks**0.5), ROUNDS), MOST_ROUNDS)
+    return rounds, max(-(-tasks // rounds), 1)
+
+
+def _symbols(train: DataFrame, shared: Broadcast) -> DataFrame:
+    """round, part, rid, s (symbols) of every document, a table in folders of rounds. train: round, part, rid, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            t = Tokens(texts)
+            ends = np.concatenate([[0], np.cumsum(t.tokens)]).astype(np.int32)
+            s = pa.ListArray.from_arrays(pa.array(ends), pa.array(shared.value.look_up(t)[1].astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("round", "part", "rid")] + [s], names=["round", "part", "rid", "s"])
+
+    return save(train.select("round", "part", "rid", "text").mapInArrow(run, "round int, part int, rid long, s array<short>"), "lm-symbols", "round")
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, fold: tuple[int, int] = HELD_OUT, task: int = TASK) -> LogBilinear:
     """The model after all rounds; docs: rid, doc_id, text. `seen` is the number of positions it was trained on."""
     spark = docs.sparkSession
-    size = CLASSES + int((vocab.symbol >= 0).sum())
+    own = vocab.symbol >= 0
+    size = CLASSES + int(own.sum())
     unigram = np.zeros(size)
     unigram[:CLASSES] = vocab.class_n
-    own = vocab.symbol >= 0
     unigram[vocab.symbol[own]] = vocab.count[own]
     unigram = (unigram + 1) / (unigram.sum() + size)
-    shared = spark.sparkContext.broadcast(vocab)
     model = LogBilinear.start(unigram)
     state = np.full_like(model.flat(), 1e-8)
-    trainers = int(min(max(vocab.n // (ROUNDS * 16 * BATCH), 1), TRAINERS))
-    train = docs.filter(~in_fold("doc_id", *fold)).select("rid", "text").withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(ROUNDS * trainers)).cast("int"))
+    rounds, trainers = schedule(vocab.n, task)
+    at = F.pmod(F.xxhash64("rid"), F.lit(rounds * trainers)).cast("int")
+    dealt = docs.filter(~in_fold("doc_id", *fold)).select("rid", "text").withColumn("at", at)
+    dealt = dealt.select((F.col("at") % rounds).alias("round"), F.floor(F.col("at") / rounds).cast("int").alias("part"), "rid", "text")
+    table = _symbols(dealt, spark.sparkContext.broadcast(vocab))
     seen = 0
-    for k in range(ROUNDS):
-        part = train.filter(F.col("part") % ROUNDS == k).repartition(trainers, "part").sortWithinPartitions("part", "rid").select("part", "text")
-        got = _round(part, k, shared, unigram, spark.sparkContext.broadcast((model.flat(), state)))
-        n = sum(r["n"] for r in got)
+    for k in range(rounds):
+        part = table.filter(F.col("round") == k).repartitionById(trainers, "part").sortWithinPartitions("rid").select("s")
+        trained = part.mapInArrow(_trainer(k, vocab.end, unigram, spark.sparkContext.broadcast((model.flat(), state))), "n double, flat binary")
+        if trainers > FEW:  # then the driver gets the means of groups of trainers
+            trained = trained.repartition(ceil(trainers**0.5)).mapInArrow(_means, "n double, flat binary")
+        n, both = _mean((r["n"], r["flat"]) for r in trained.collect())  # at most FEW rows, or the root of the trainers' number
         if n:
-            flat, state = np.split(sum(np.frombuffer(r["flat"], np.float64) for r in got) / n, 2)
+            flat, state = np.split(both.astype(np.float32), 2)
             model = LogBilinear.of(flat, size)
             seen += int(n)
+    drop(table)
     model.seen = seen
     return model
 
 
-def _round(part: DataFrame, k: int, shared: Broadcast, unigram: np.ndarray, before: Broadcast) -> list[Row]:
-    """(n, flat) of every trainer of a round: positions seen, and parameters and AdaGrad sums multiplied by them."""
-    size = len(unigram)
+def _mean(rows: Iterable[tuple[float, bytes]]) -> tuple[float, np.ndarray]:
+    """The number of positions, and the mean of the flat arrays weighed by them."""
+    total, out = 0.0, np.zeros(0)
+    for n, flat in rows:
+        one = np.frombuffer(flat, np.float32) * np.float64(n)
+        total, out = total + n, one if not total else out + one
+    return total, out / max(total, 1.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        model, sums, rng, seen, at = None, None, None, 0, -1
-        held: list[np.ndarray] = []
 
-        def close() -> pa.RecordBatch:
-            both = np.concatenate([model.flat(), sums.flat()]) * seen
-            return pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([both.tobytes()], pa.binary())], names=["n", "flat"])
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, both = _mean(pair for b in batches for pair in zip(b.column("n").to_pylist(), b.column("flat").to_pylist(), strict=True))
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([both.astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
 
-        def learn() -> int:
-            n = _steps(model, np.concatenate(held, 1), unigram, rng, [sums.word, sums.target, sums.place, sums.bias]) if held else 0
-            held.clear()
-            return n
 
-        for batch, texts in slices(batches):
-            of = batch.column("part").to_numpy()
-            edge = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if of[a] != at:
-                    if model is not None:
-                        seen += learn()
-                        yield close()
-                    flat, state = (x.copy() for x in before.value)
-                    model, sums, rng, seen, at = LogBilinear.of(flat, size), LogBilinear.of(state, size), np.random.default_rng((7, k, int(of[a]))), 0, int(of[a])
-                t = Tokens(texts[a:b])
-                symbol = vocab.look_up(t)[1]
-                held.append(np.stack([*contexts(t, symbol, vocab.end), symbol]))
-                if sum(h.shape[1] for h in held) >= 64 * BATCH:
-                    seen += learn()
-        if model is not None:
-            seen += learn()
-            yield close()
+def _trainer(k: int, end: int, unigram: np.ndarray, before: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a round's trainers, each a partition of documents' symbols: positions seen, and parameters and AdaGrad sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, sums = (x.copy() for x in before.value)
+        model, state = LogBilinear.of(flat, len(unigram)), LogBilinear.of(sums, len(unigram)).parts()
+        rng = np.random.default_rng((7, k, TaskContext.get().partitionId()))
+        held: list[np.ndarray] = []
+        seen = waiting = 0
+        for batch in batches:
+            for row in range(0, len(batch), 64):
+                s = batch.column("s").slice(row, 64)
+                text = np.repeat(np.arange(len(s)), np.diff(s.offsets.to_numpy()))
+                symbol = s.flatten().to_numpy().astype(np.int64)
+                held.append(np.stack([*contexts(text, symbol, end), symbol]))
+                waiting += len(symbol)
+                if waiting >= 64 * BATCH:
+                    seen, waiting = seen + _steps(model, np.concatenate(held, 1), unigram, rng, state), 0
+                    held.clear()
+        if held:
+            seen += _steps(model, np.concatenate(held, 1), unigram, rng, state)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([np.concatenate([flat, sums]).tobytes()], pa.binary())], names=["n", "flat"])
 
-    return part.mapInArrow(run, "n double, flat binary").collect()  # at most TRAINERS rows
+    return run
 
 
 def _steps(model: LogBilinear, triples: np.ndarray, noise: np.ndarray, rng: np.random.Generator, state: list[np.ndarray]) -> int:
@@ -292,7 +335,7 @@ def score(docs: DataFrame, fold: tuple[int, int] = HELD_OUT) -> DataFrame:
             known = c > 0
             per = lambda weights: np.bincount(t.text, weights=weights, minlength=t.n)  # noqa: E731,B023
             own = np.log10(np.maximum(c, 0) + 1.0)
-            x, y = contexts(t, symbol, vocab.end)
+            x, y = contexts(t.text, symbol, vocab.end)
             p = (one[x, symbol].astype(np.float64) + two[y, symbol] - log_z[x, y]) / np.log(10)
             p += np.where(classed, own - log_class[np.where(classed, symbol, 0)], 0)
             rare = np.flatnonzero(c < 0)
