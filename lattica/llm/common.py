@@ -11,19 +11,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Bytes of an Arrow batch that Spark hands to Python: rows may be of any length, so their number bounds nothing.
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Tasks hold a batch in the JVM, in Python as Arrow and in Python as texts; let batches be small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. In local mode alone, where no other machine has to
     see it, one of our own will do if that is unset."""
+    lean(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):

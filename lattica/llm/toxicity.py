@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lattica.llm.common import Words, boxed, in_fold, mix, save, slices, unboxed
 
 SAMPLE_ROWS, DISCOUNT, PASSAGE, PREDICT = 3000, 3.0, 6, 0.5
-STEMS, EXCESS, SHARED = (3, 4, 5, 6), 1.0, 1 << 18
+STEMS, EXCESS, SHARED = (3, 4, 5, 6), 1.0, 1 << 16
 FOLD = (5, 0)
 MARKS = np.zeros(256, bool)
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
