@@ -35,16 +35,28 @@ def squared_distance(eye: tuple[float, float, float]) -> Column:
     return out
 
 
-def refines(eye: tuple[float, float, float], focal: float, threshold: float) -> Column:
-    """Whether the node's projected half diagonal exceeds the threshold; a camera inside always refines."""
-    diagonal = sum((F.pow((F.col(f"max_{a}") - F.col(f"min_{a}")).cast("double"), F.lit(2.0)) for a in AXES), F.lit(0.0))
-    d2 = squared_distance(eye)
-    return (d2 == 0) | (F.lit(focal * 0.5) * F.sqrt(diagonal) / 2 > F.lit(float(threshold)) * F.sqrt(d2))
-
-
-def walk(tree: DataFrame, frustum: np.ndarray, eye: tuple[float, float, float], focal: float, threshold: float) -> DataFrame:
-    """tree's nodes that a walk visits, with visible and refined: every ancestor is visible, interior and refined."""
-    flagged = tree.withColumn("visible", classify(frustum) != "outside").withColumn("refined", F.col("visible") & ~F.col("is_leaf") & refines(eye, focal, threshold))
+def refines(eye: tuple[float, float, float], focal: float, threshold: float, hysteresis: float = 0.0, before: Column | None = None) -> Column:
+    """Whether half the node's diagonal, seen from the eye to the node's centre, covers more than `threshold` of the screen.
+
+    A camera nearer to the centre than that always refines. Nodes that were refined `before` stay so down to a threshold
+    lower by the share `hysteresis`, so that a camera at the boundary doesn't flicker."""
+    square = lambda columns: F.sqrt(sum((F.pow(c, F.lit(2.0)) for c in columns), F.lit(0.0)))
+    half = square((F.col(f"max_{a}") - F.col(f"min_{a}")).cast("double") for a in AXES) / 2
+    distance = square((F.col(f"max_{a}") + F.col(f"min_{a}")).cast("double") / 2 - F.lit(float(e)) for a, e in zip(AXES, eye, strict=True))
+    least = F.lit(float(threshold))
+    if before is not None:
+        least = F.when(before, least * F.lit(1.0 - hysteresis)).otherwise(least)
+    return (distance < half) | (F.lit(focal * 0.5) * half > least * distance)
+
+
+def walk(tree: DataFrame, frustum: np.ndarray, eye: tuple[float, float, float], focal: float, threshold: float, hysteresis: float = 0.0, last: DataFrame | None = None) -> DataFrame:
+    """tree's nodes that a walk visits, with visible and refined: every ancestor is visible, interior and refined.
+    last: (lod, key) of the nodes that the walk before refined."""
+    before = None
+    if last is not None:
+        tree = tree.join(last.select("lod", "key").distinct().withColumn("before", F.lit(True)), ["lod", "key"], "left")
+        before = F.coalesce("before", F.lit(False))
+    flagged = tree.withColumn("visible", classify(frustum) != "outside").withColumn("refined", F.col("visible") & ~F.col("is_leaf") & refines(eye, focal, threshold, hysteresis, before))
     top = flagged.agg(F.max("lod").alias("top"))
     ups = flagged.join(F.broadcast(top), F.lit(True)).filter(F.col("lod") < F.col("top")).select("lod", "key", F.explode(F.sequence(F.col("lod") + 1, F.col("top"))).alias("up_lod"))
     ups = ups.withColumn("up_key", F.call_function("shiftright", F.col("key"), ((F.col("up_lod") - F.col("lod")) * 3).cast("int")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import morton as M
+from lattica.operators import octree
 
 SLIM = ("rgb", "intensity", "classification")
 
@@ -22,15 +23,27 @@ def slim(points: DataFrame, all_attributes: bool = False, keep: tuple[str, ...]
 def pyramid(points: DataFrame, tree: DataFrame, full_detail: int = 9) -> DataFrame:
     """(lod, key, cell, points' columns): of each interior node, the least (morton, id) of every occupied cell.
 
-    The choice is associative, so points collapse to their smallest cells once and all levels come from those."""
-    row = F.struct("morton", "id", *(c for c in points.columns if c not in ("morton", "id")))
-    smallest = points.groupBy(M.prefix("morton", 0).alias("c0")).agg(F.min(row).alias("row"))
-    inner = tree.filter("not is_leaf").select("lod", "key")
-    lods = sorted(r[0] for r in inner.select("lod").distinct().collect())  # at most the tree's depth
-    at = smallest.select("row", F.explode(F.array(*(F.lit(k) for k in lods)) if lods else F.array().cast("array<int>")).alias("lod"))
-    at = at.withColumn("key", M.prefix(F.col("row.morton"), F.col("lod"))).withColumn("cell", M.prefix(F.col("row.morton"), mask_width(F.col("lod"), full_detail)))
-    held = at.join(inner, ["lod", "key"], "left_semi")
-    return held.groupBy("lod", "key", "cell").agg(F.min("row").alias("row")).select("lod", "key", "cell", "row.*")
+    The choice is associative, so points collapse to their smallest cells once and all levels come from those: each as
+    often as its leaf has ancestors, which are the interior nodes. Only codes and ids are aggregated; positions are
+    decoded from the code, and other columns fetched once for the rows that are in some sample."""
+    codes = points.groupBy("morton").agg(F.min("id").alias("id"))
+    smallest = codes.groupBy(M.prefix("morton", 0).alias("c0")).agg(F.min("morton").alias("morton"), F.min_by("id", "morton").alias("id")).drop("c0")
+    top = tree.agg(F.max("lod")).first()[0]
+    if top is None:
+        top = 0
+    above = octree.leaf_of_point(smallest, 0, tree, top).filter(F.col("leaf_lod") < top)
+    at = above.select("morton", "id", F.explode(F.sequence(F.col("leaf_lod") + 1, F.lit(top))).alias("lod"))
+    fine = at.filter(F.col("lod") <= full_detail)  # here a cell is a smallest one
+    coarse = at.filter(F.col("lod") > full_detail).groupBy("lod", M.prefix("morton", mask_width(F.col("lod"), full_detail)).alias("cell")).agg(F.min("morton").alias("morton"), F.min_by("id", "morton").alias("id"))
+    held = fine.select("lod", M.prefix("morton", 0).alias("cell"), "morton", "id").unionByName(coarse.select("lod", "cell", "morton", "id"))
+    kinds = dict(points.dtypes)
+    place = {a: c.cast(kinds[a]).alias(a) for a, c in zip(("gx", "gy", "gz"), M.decode("morton"), strict=True) if a in kinds}
+    others = [c for c in points.columns if c not in ("morton", "id", *place)]
+    out = held.select("lod", M.prefix("morton", F.col("lod")).alias("key"), "cell", "morton", "id", *place.values())
+    if others:
+        rows = points.select("morton", "id", *others).join(smallest, ["morton", "id"], "left_semi").dropDuplicates(["morton", "id"])
+        out = out.join(rows, ["morton", "id"])
+    return out.select("lod", "key", "cell", "morton", "id", *(c for c in points.columns if c not in ("morton", "id")))
 
 
 def cell_median(points: DataFrame, lod: int, full_detail: int = 9) -> DataFrame:
@@ -63,8 +76,10 @@ def median_pyramid(points: DataFrame, tree: DataFrame, limit_lods: list[int], fu
 def adaptive_width(points: DataFrame, lod: int, full_detail: int = 9, share: int = 4, most: int = 21) -> int:
     """The least mask width whose cells are at most a `share`-th of the points."""
     start = max(lod - full_detail, 0)
-    got = points.agg(F.count(F.lit(1)).alias("n"), *(F.count_distinct(M.prefix("morton", w)).alias(f"w{w}") for w in range(start, min(start + 8, most)))).first()
-    return next((w for w in range(start, min(start + 8, most)) if got[f"w{w}"] * share <= got["n"]), min(start + 8, most))
+    widths = list(range(start, min(start + 8, most)))
+    cells = {r["width"]: r["cells"] for r in octree.occupied(points, widths).collect()}  # at most eight rows
+    n = points.count()
+    return next((w for w in widths if cells.get(w, 0) * share <= n), min(start + 8, most))
 
 
 def rep_level(points: DataFrame, node: list[str]) -> DataFrame:

@@ -56,11 +56,22 @@ def overlaps(box: Box | None) -> Column:
     return out
 
 
+#: What an attribute is where nothing else says so: colours are a light grey, one value a component. Fixed values.
+MISSING = {"rgb": 200, "red": 200, "green": 200, "blue": 200}
+
+
+def filled(df: DataFrame, attribute: str) -> Column:
+    """The attribute; what the rows lack of it is its value in `MISSING`, or zero."""
+    kind, value = dict(df.dtypes).get(attribute), MISSING.get(attribute, 0)
+    if kind is None:
+        return F.array_repeat(F.lit(value), 3) if attribute == "rgb" else F.lit(value)
+    none = F.array_repeat(F.lit(value), 3) if kind.startswith("array") else F.lit("" if kind == "string" else value)
+    return F.coalesce(F.col(attribute), none.cast(kind))
+
+
 def project(df: DataFrame, attributes: list[str]) -> DataFrame:
-    """id, position and the named attributes; what the rows lack is zero."""
-    kinds = dict(df.dtypes)
-    zero = lambda a: F.coalesce(F.col(a), F.lit("" if kinds[a] == "string" else 0).cast(kinds[a])) if a in kinds else F.lit(0)
-    return df.select("id", *AXES, "morton", *(zero(a).alias(a) for a in attributes))
+    """id, position and the named attributes, filled where the rows lack them."""
+    return df.select("id", *AXES, "morton", *(filled(df, a).alias(a) for a in attributes))
 
 
 def frontier_level(tree: DataFrame, k: int, root_lod: int) -> DataFrame:

@@ -39,7 +39,21 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*(F.coalesce(F.col(n).cast(k), zero[n]).alias(n) if n in p.columns else zero[n].alias(n) for n, k in kinds.items())) for p in parts])
 
 
-def components(c: Column, size: int, kind: str) -> Column:
-    """An array attribute as `size` components: cut, or padded with zeros; values that don't fit are null."""
-    padded = F.slice(F.concat(c, F.array_repeat(F.lit(0).cast(kind), size)), 1, size)
-    return F.transform(padded, lambda x: x.try_cast(kind))
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def components(c: Column, size: int, kind: str, source: str = "bigint") -> Column:
+    """An array attribute as `size` components of another type: cut, or padded with zeros.
+
+    Whole numbers keep their low bits, as a narrowing conversion does; fractions lose what is after the point first.
+    What has no whole number (NaN, or beyond 64 bits) is zero."""
+    padded = F.slice(F.concat(c, F.array_repeat(F.lit(0).cast(source), size)), 1, size)
+    if kind not in _BITS:
+        return F.transform(padded, lambda x: x.try_cast(kind))
+
+    def low(x: Column) -> Column:
+        whole = F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))
+        unused = 64 - _BITS[kind]
+        return F.shiftright(F.shiftleft(whole, unused), unused).cast(kind)
+
+    return F.transform(padded, low)

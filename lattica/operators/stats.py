@@ -71,24 +71,6 @@ def contrast(c: str, low: float, high: float):
     return F.when(width == 0, F.lit(0.0)).otherwise(F.least(F.greatest((F.col(c).cast("double") - F.lit(float(low))) / F.nullif(width, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
-MIB = 1 << 20
-
-#: Shares of a total budget and their bounds: name -> (divisor, least MiB, most MiB). Fixed values.
-BUDGETS = {"read_cache": (4, 16, 256), "decompressed_cache": (16, 8, 64), "decoded_backlog": (4, 24, 256), "resident": (4, 32, 256)}
-
-
-def memory_budgets(total_bytes: int) -> dict[str, int]:
-    """Bytes of each pool, and the reads in flight that its backlog of 4 MiB blocks allows."""
-    out = {n: min(max(total_bytes // d, low * MIB), high * MIB) for n, (d, low, high) in BUDGETS.items()}
-    return out | {"reads_in_flight": min(max(out["decoded_backlog"] // (4 * MIB), 4), 64)}
-
-
-def pressure(used: int, most: int) -> str:
-    """'none', 'high' from 80 % of the ceiling, 'critical' from 90 %; without a ceiling, none."""
-    share = 10 * used / most if most else 0
-    return "critical" if share >= 9 else "high" if share >= 8 else "none"
-
-
 def unreferenced(stored: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     """Stored units that no node refers to: what a clean-up may delete."""
     return stored.join(nodes.select(*key).distinct(), key, "left_anti")

@@ -49,17 +49,21 @@ def _msb_sql(x: str) -> str:
 P = clouds.ORDERS_SQL
 ROOT = f"root AS (SELECT 5 * ({_msb_sql('xor(min(morton), max(morton))')} // 15) + 4 AS r FROM pts)"
 LEVELS = f"""{P}, {ROOT},
-lvl AS (SELECT CAST(l.l AS INTEGER) AS lod, morton >> CAST(3 * (l.l + 1) AS INTEGER) AS key, count(*) AS n, min(morton) AS low, max(morton) AS high, CAST(bit_or(1 << CAST((morton >> CAST(3 * l.l AS INTEGER)) & 7 AS INTEGER)) AS INTEGER) AS child_mask,
+lvl AS MATERIALIZED (SELECT CAST(l.l AS INTEGER) AS lod, morton >> CAST(3 * (l.l + 1) AS INTEGER) AS key, count(*) AS n, min(morton) AS low, max(morton) AS high, CAST(bit_or(1 << CAST((morton >> CAST(3 * l.l AS INTEGER)) & 7 AS INTEGER)) AS INTEGER) AS child_mask,
   min(gx) AS min_gx, max(gx) AS max_gx, min(gy) AS min_gy, max(gy) AS max_gy, min(gz) AS min_gz, max(gz) AS max_gz
-  FROM pts, root, range(0, 20) AS l(l) WHERE l.l <= r GROUP BY 1, 2)"""
+  FROM pts, range(0, 20) AS l(l) WHERE l.l <= (SELECT r FROM root) GROUP BY 1, 2)"""
 NODES = f"""{LEVELS},
-nodes AS (SELECT c.*, (c.n <= {LIMIT} OR c.lod = 0) AS is_leaf, c.lod // 5 AS page, 4 - c.lod % 5 AS level FROM lvl c
-  LEFT JOIN lvl p ON p.lod = c.lod + 1 AND p.key = c.key >> 3, root WHERE c.lod = r OR p.n > {LIMIT})"""
+split AS MATERIALIZED (SELECT lod - 1 AS lod, key AS up FROM lvl WHERE n > {LIMIT}),
+held AS (SELECT * FROM lvl WHERE lod = (SELECT r FROM root) UNION ALL SELECT c.* FROM lvl c JOIN split p ON p.lod = c.lod AND p.up = c.key >> 3),
+nodes AS MATERIALIZED (SELECT *, (n <= {LIMIT} OR lod = 0) AS is_leaf, lod // 5 AS page, 4 - lod % 5 AS level FROM held)"""
+_AT = "(SELECT p.*, d.lod AS at_lod, p.morton >> (3 * (d.lod + 1)) AS at_key FROM pts p, (SELECT DISTINCT lod FROM nodes WHERE {}) d)"
 LEAF = f"""{NODES},
-leafed AS (SELECT p.*, n.lod AS leaf_lod, n.key AS leaf_key FROM pts p JOIN nodes n ON n.is_leaf AND n.key = p.morton >> (3 * (n.lod + 1)))"""
+leafed AS MATERIALIZED (SELECT a.* EXCLUDE (at_lod, at_key), a.at_lod AS leaf_lod, a.at_key AS leaf_key FROM {_AT.format('is_leaf')} a JOIN nodes n ON n.is_leaf AND n.lod = a.at_lod AND n.key = a.at_key)"""
 SAMPLES = f"""{NODES},
-sample AS (SELECT * FROM (SELECT n.lod, n.key, p.morton >> (3 * (greatest(n.lod - {DETAIL}, 0) + 1)) AS cell, p.*, row_number() OVER (PARTITION BY n.lod, n.key, p.morton >> (3 * (greatest(n.lod - {DETAIL}, 0) + 1)) ORDER BY p.morton, p.id) AS rn
-  FROM pts p JOIN nodes n ON NOT n.is_leaf AND n.key = p.morton >> (3 * (n.lod + 1))) s WHERE rn = 1)"""
+sample AS MATERIALIZED (SELECT * FROM (SELECT n.lod, n.key, a.morton >> (3 * (greatest(n.lod - {DETAIL}, 0) + 1)) AS cell, a.* EXCLUDE (at_lod, at_key), row_number() OVER (PARTITION BY n.lod, a.morton >> (3 * (greatest(n.lod - {DETAIL}, 0) + 1)) ORDER BY a.morton, a.id) AS rn
+  FROM {_AT.format('NOT is_leaf')} a JOIN nodes n ON NOT n.is_leaf AND n.lod = a.at_lod AND n.key = a.at_key) s WHERE rn = 1)"""
+#: The unit of codecs and ranks: a leaf, which holds a bounded number of rows.
+UNIT = ["leaf_lod", "leaf_key"]
 
 _orders = clouds.orders
 
@@ -71,6 +75,11 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
     return points, top, clouds.settled(octree.nodes(points, LIMIT, top))
 
 
+def _leafed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, top, tree = _tree(spark, sf_dir)
+    return octree.leaf_of_point(points, LIMIT, tree, top)
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _orders(spark, sf_dir)
     return octree.nodes(points, LIMIT, octree.root(points))
@@ -102,15 +111,16 @@ def morton_wide(spark, sf_dir):
     return wide.select("id", F.col("m.hi").alias("hi"), x.alias("wx"), y.alias("wy"), z.alias("wz"))
 
 
-@query(f"WITH {P} SELECT id, CAST({_msb_sql('xor(morton, before)')} // 3 AS INTEGER) AS lod FROM (SELECT id, morton, lag(morton) OVER (PARTITION BY priority ORDER BY morton, id) AS before FROM pts) x WHERE before IS NOT NULL")
+@query(f"WITH {LEAF} SELECT id, CAST({_msb_sql('xor(morton, before)')} // 3 AS INTEGER) AS lod FROM (SELECT id, morton, lag(morton) OVER (PARTITION BY leaf_lod, leaf_key ORDER BY morton, id) AS before FROM leafed) x WHERE before IS NOT NULL")
 def morton_lod_of_neighbours(spark, sf_dir):
-    w = Window.partitionBy("priority").orderBy("morton", "id")
-    return _orders(spark, sf_dir).withColumn("before", F.lag("morton").over(w)).filter("before is not null").select("id", M.lod_between("morton", "before").alias("lod"))
+    w = Window.partitionBy(*UNIT).orderBy("morton", "id")
+    return _leafed(spark, sf_dir).withColumn("before", F.lag("morton").over(w)).filter("before is not null").select("id", M.lod_between("morton", "before").alias("lod"))
 
 
-@query(f"WITH {P} SELECT CAST(l.l AS INTEGER) AS lod, CAST((morton >> CAST(3 * l.l AS INTEGER)) & 7 AS INTEGER) AS child, count(*) AS n FROM pts, range(0, 13) AS l(l) GROUP BY 1, 2")
+@query(f"WITH {P}, {ROOT} SELECT CAST(l.l AS INTEGER) AS lod, CAST((morton >> CAST(3 * l.l AS INTEGER)) & 7 AS INTEGER) AS child, count(*) AS n FROM pts, range(0, 20) AS l(l) WHERE l.l <= (SELECT r FROM root) GROUP BY 1, 2")
 def morton_child_histogram(spark, sf_dir):
-    rows = _orders(spark, sf_dir).select("morton", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("lod"))
+    points = _orders(spark, sf_dir)
+    rows = points.select("morton", F.explode(F.sequence(F.lit(0), F.lit(octree.root(points)))).alias("lod"))  # collapses to eight rows a level in each task
     return rows.groupBy("lod", M.child("morton", F.col("lod")).alias("child")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,14 +131,15 @@ def quantize_dequantize(spark, sf_dir):
     return w.select("id", "g", frame.dequantize(F.col("g"), 0.25, -10000.0).alias("back"))
 
 
-@query(f"WITH {P} SELECT priority, id, row_number() OVER (PARTITION BY priority ORDER BY morton, id) - 1 AS rank FROM pts")
+@query(f"WITH {LEAF} SELECT leaf_lod, leaf_key, id, row_number() OVER (PARTITION BY leaf_lod, leaf_key ORDER BY morton, id) - 1 AS rank FROM leafed")
 def morton_sorted_rank(spark, sf_dir):
-    return _orders(spark, sf_dir).select("priority", "id", (F.row_number().over(Window.partitionBy("priority").orderBy("morton", "id")) - 1).cast("long").alias("rank"))
+    return _leafed(spark, sf_dir).select(*UNIT, "id", (F.row_number().over(Window.partitionBy(*UNIT).orderBy("morton", "id")) - 1).cast("long").alias("rank"))
 
 
-@query(f"WITH {P} SELECT status, id, row_number() OVER (PARTITION BY status ORDER BY id) - 1 AS original_order FROM pts")
+@query(f"WITH {P} SELECT id // 4096 AS chunk, id, row_number() OVER (PARTITION BY id // 4096 ORDER BY id) - 1 AS original_order FROM pts")
 def original_order(spark, sf_dir):
-    return _orders(spark, sf_dir).select("status", "id", (F.row_number().over(Window.partitionBy("status").orderBy("id")) - 1).cast("long").alias("original_order"))
+    chunks = _orders(spark, sf_dir).select(F.floor(F.col("id") / 4096).alias("chunk"), "id")
+    return chunks.withColumn("original_order", (F.row_number().over(Window.partitionBy("chunk").orderBy("id")) - 1).cast("long"))
 
 
 # --- Octree -----------------------------------------------------------------------------------------------------
@@ -216,7 +227,7 @@ def _take(spark, sf_dir, frontier, box, clip):
 
 
 def _taken_sql(front: str, where: str) -> str:
-    return f"""WITH {SAMPLES}, leafed AS (SELECT p.*, n.lod AS leaf_lod, n.key AS leaf_key FROM pts p JOIN nodes n ON n.is_leaf AND n.key = p.morton >> (3 * (n.lod + 1))), {front},
+    return f"""WITH {LEAF}, {SAMPLES.removeprefix(NODES + ",")}, {front},
 taken AS (SELECT l.leaf_lod AS lod, l.leaf_key AS key, FALSE AS is_lod, l.id, l.gx, l.gy, l.gz, l.morton FROM leafed l JOIN front f ON f.is_leaf AND f.lod = l.leaf_lod AND f.key = l.leaf_key
   UNION ALL SELECT s.lod, s.key, TRUE, s.id, s.gx, s.gy, s.gz, s.morton FROM sample s JOIN front f ON NOT f.is_leaf AND f.lod = s.lod AND f.key = s.key)
 SELECT lod, key, is_lod, id, morton FROM taken WHERE {where}"""
@@ -275,6 +286,11 @@ def region_missing_attribute(spark, sf_dir):
     return region.project(_orders(spark, sf_dir).filter(region.inside(BOX)), ["price", "intensity"])
 
 
+@query(f"WITH {P} SELECT id, gx, gy, gz, morton, 200 AS red, status FROM pts WHERE {BOX_SQL}")
+def region_missing_colour(spark, sf_dir):
+    return region.project(_orders(spark, sf_dir).filter(region.inside(BOX)), ["red", "status"])
+
+
 @query(f"WITH {P} SELECT id, price FROM pts WHERE {BOX_SQL} AND price > 200000 AND status = 'F'")
 def region_attribute_filter(spark, sf_dir):
     return _orders(spark, sf_dir).filter(region.inside(BOX) & (F.col("price") > 200000) & (F.col("status") == "F")).select("id", "price")
@@ -283,10 +299,12 @@ def region_attribute_filter(spark, sf_dir):
 # --- Level of detail --------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {P} SELECT CAST(l.l AS INTEGER) AS lod, count(DISTINCT morton >> CAST(3 * (greatest(l.l - {DETAIL}, 0) + 1) AS INTEGER)) AS cells FROM pts, range(0, 15) AS l(l) GROUP BY 1")
+@query(f"WITH {P}, {ROOT} SELECT CAST(l.l AS INTEGER) AS lod, count(DISTINCT morton >> CAST(3 * (greatest(l.l - {DETAIL}, 0) + 1) AS INTEGER)) AS cells FROM pts, range(0, 20) AS l(l) WHERE l.l <= (SELECT r FROM root) GROUP BY 1")
 def lod_cells(spark, sf_dir):
-    rows = _orders(spark, sf_dir).select("morton", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("lod"))
-    return rows.groupBy("lod").agg(F.count_distinct(M.prefix("morton", lod.mask_width(F.col("lod"), DETAIL))).alias("cells"))
+    points = _orders(spark, sf_dir)
+    top = octree.root(points)
+    of = spark.range(top + 1).select(F.col("id").cast("int").alias("lod")).withColumn("width", lod.mask_width(F.col("lod"), DETAIL))
+    return of.join(octree.occupied(points, list(range(max(top - DETAIL, 0) + 1))), "width").select("lod", "cells")
 
 
 @query(f"WITH {SAMPLES} SELECT lod, key, cell, id, morton FROM sample")
@@ -354,7 +372,9 @@ def _plane_sql(near: bool) -> str:
 
 _VIEW = f"CASE WHEN {_plane_sql(False)} THEN 'outside' WHEN {_plane_sql(True)} THEN 'inside' ELSE 'intersects' END"
 _D2 = " + ".join(f"power(greatest(min_{a} - {e!r}::DOUBLE, {e!r}::DOUBLE - max_{a}, 0.0::DOUBLE), 2)" for a, e in zip(("gx", "gy", "gz"), EYE, strict=True))
-_REFINE = f"(({_D2}) = 0 OR {FOCAL * 0.5!r}::DOUBLE * sqrt(power(max_gx - min_gx, 2) + power(max_gy - min_gy, 2) + power(max_gz - min_gz, 2)) / 2 > {ERROR!r}::DOUBLE * sqrt({_D2}))"
+_HALF = "sqrt(power(CAST(max_gx - min_gx AS DOUBLE), 2) + power(CAST(max_gy - min_gy AS DOUBLE), 2) + power(CAST(max_gz - min_gz AS DOUBLE), 2)) / 2"
+_CENTRE = "sqrt(" + " + ".join(f"power(CAST(min_{a} + max_{a} AS DOUBLE) / 2 - {e!r}::DOUBLE, 2)" for a, e in zip(("gx", "gy", "gz"), EYE, strict=True)) + ")"
+_REFINE = f"({_CENTRE} < {_HALF} OR {FOCAL * 0.5!r}::DOUBLE * {_HALF} / {_CENTRE} > {ERROR!r}::DOUBLE)"
 
 
 @query(f"WITH {NODES} SELECT lod, key, {_VIEW} AS view FROM nodes")
@@ -367,6 +387,12 @@ def screen_error_refine(spark, sf_dir):
     return _nodes(spark, sf_dir).select("lod", "key", frustum.refines(EYE, FOCAL, ERROR).alias("refines"))
 
 
+@query(f"WITH {NODES} SELECT lod, key, {_CENTRE} < {_HALF} OR {FOCAL * 0.5!r}::DOUBLE * {_HALF} / {_CENTRE} > {ERROR!r}::DOUBLE * CASE WHEN lod >= 10 THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS refines FROM nodes")
+def screen_error_hysteresis(spark, sf_dir):
+    """Nodes from level 10 up count as refined before."""
+    return _nodes(spark, sf_dir).select("lod", "key", frustum.refines(EYE, FOCAL, ERROR, 0.25, F.col("lod") >= 10).alias("refines"))
+
+
 @query(f"WITH {NODES}, v AS (SELECT *, ({_VIEW}) <> 'outside' AS visible, ({_VIEW}) <> 'outside' AND NOT is_leaf AND {_REFINE} AS refined FROM nodes) SELECT lod, key, visible, refined FROM v s WHERE NOT EXISTS (SELECT 1 FROM v a WHERE a.lod > s.lod AND a.key = s.key >> (3 * (a.lod - s.lod)) AND NOT a.refined)")
 def frustum_walk(spark, sf_dir):
     return frustum.walk(_tree(spark, sf_dir)[2], PLANES, EYE, FOCAL, ERROR).select("lod", "key", "visible", "refined")
@@ -443,40 +469,34 @@ def points_per_return(spark, sf_dir):
     return stats.points_per_return(las_composite_pack(spark, sf_dir).withColumnRenamed("packed", "las_composite_0"))
 
 
-@query(f"WITH {NODES} SELECT l.lod, l.key, l.n FROM lvl l LEFT JOIN nodes n ON n.lod = l.lod AND n.key = l.key WHERE n.lod IS NULL AND l.lod >= 8")
+@query(f"WITH {NODES} SELECT l.lod, l.key, l.n FROM lvl l ANTI JOIN nodes n ON n.lod = l.lod AND n.key = l.key")
 def unreferenced_units(spark, sf_dir):
     points, top, tree = _tree(spark, sf_dir)
-    return stats.unreferenced(octree.levels(points, top).filter("lod >= 8"), tree, ["lod", "key"]).select("lod", "key", "n")
-
-
-@query("SELECT 1024 AS mib, 268435456 AS read_cache, 67108864 AS decompressed_cache, 268435456 AS decoded_backlog, 268435456 AS resident, 64 AS reads_in_flight UNION ALL SELECT 256, 67108864, 16777216, 67108864, 67108864, 16")
-def memory_budgets(spark, sf_dir):
-    rows = [(m, *stats.memory_budgets(m * stats.MIB).values()) for m in (1024, 256)]
-    return spark.createDataFrame(rows, "mib int, read_cache int, decompressed_cache int, decoded_backlog int, resident int, reads_in_flight int")
+    return stats.unreferenced(octree.levels(points, top), tree, ["lod", "key"]).select("lod", "key", "n")
 
 
 # --- Codecs -----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {P} SELECT id, morton - coalesce(lag(morton) OVER (PARTITION BY status ORDER BY morton, id), 0) AS delta FROM pts")
+@query(f"WITH {LEAF} SELECT id, morton - coalesce(lag(morton) OVER (PARTITION BY leaf_lod, leaf_key ORDER BY morton, id), 0) AS delta FROM leafed")
 def codec_delta(spark, sf_dir):
-    return codec.delta(_orders(spark, sf_dir), "morton", ["status"], ["morton", "id"]).select("id", "delta")
+    return codec.delta(_leafed(spark, sf_dir), "morton", UNIT, ["morton", "id"]).select("id", "delta")
 
 
 @query(f"WITH {P} SELECT id, morton AS value FROM pts")
 def codec_delta_inverse(spark, sf_dir):
-    coded = codec.delta(_orders(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy("morton", "id"))), "morton", ["status"], ["place"])
-    return codec.undelta(coded, "delta", ["status"], ["place"]).select("id", "value")
+    coded = codec.delta(_leafed(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy(*UNIT).orderBy("morton", "id"))), "morton", UNIT, ["place"])
+    return codec.undelta(coded, "delta", UNIT, ["place"]).select("id", "value")
 
 
-@query(f"WITH {P} SELECT id, price - min(price) OVER (PARTITION BY priority) AS rest, min(price) OVER (PARTITION BY priority) AS base FROM pts")
+@query(f"WITH {LEAF} SELECT id, price - min(price) OVER (PARTITION BY leaf_lod, leaf_key) AS rest, min(price) OVER (PARTITION BY leaf_lod, leaf_key) AS base FROM leafed")
 def codec_offset_f64(spark, sf_dir):
-    return codec.offset(_orders(spark, sf_dir), "price", ["priority"]).select("id", "rest", "base")
+    return codec.offset(_leafed(spark, sf_dir), "price", UNIT).select("id", "rest", "base")
 
 
-@query(f"WITH {P} SELECT id, CAST(row_number() OVER (PARTITION BY priority ORDER BY price, id) - 1 AS INTEGER) AS rank FROM pts")
+@query(f"WITH {LEAF} SELECT id, CAST(row_number() OVER (PARTITION BY leaf_lod, leaf_key ORDER BY price, id) - 1 AS INTEGER) AS rank FROM leafed")
 def codec_sort_permutation(spark, sf_dir):
-    return codec.sort_permutation(_orders(spark, sf_dir), "price", ["priority"], ["id"]).select("id", "rank")
+    return codec.sort_permutation(_leafed(spark, sf_dir), "price", UNIT, ["id"]).select("id", "rank")
 
 
 _RGB = "c AS (SELECT id, (gx * 37) % 65536 AS r, (gy * 91) % 65536 AS g, (gz * 53) % 65536 AS b FROM pts)"
@@ -499,22 +519,29 @@ def codec_rgb_inverse(spark, sf_dir):
     return coded.select("id", *(c.alias(n) for c, n in zip(codec.correlate(F.col("g"), F.col("rg"), F.col("bg")), "rgb", strict=True)))
 
 
-@query(f"WITH {P}, {_RGB}, s AS (SELECT c.*, p.status FROM c JOIN pts p USING (id)) SELECT id, (r - coalesce(lag(r) OVER (PARTITION BY status ORDER BY id), 0) + 65536) % 65536 AS dr FROM s")
+@query(f"WITH {LEAF} SELECT id, (gx * 37 % 65536 - coalesce(lag(gx * 37 % 65536) OVER (PARTITION BY leaf_lod, leaf_key ORDER BY id), 0) + 65536) % 65536 AS dr FROM leafed")
 def codec_component_delta(spark, sf_dir):
-    c = _orders(spark, sf_dir).select("id", "status", (F.col("gx") * 37 % 65536).alias("r"))
-    return codec.delta(c, "r", ["status"], ["id"], "dr", 65536).select("id", "dr")
+    return codec.delta(_leafed(spark, sf_dir).withColumn("r", F.col("gx") * 37 % 65536), "r", UNIT, ["id"], "dr", 65536).select("id", "dr")
 
 
-@query(f"WITH {P}, b AS (SELECT status, CAST(k.k AS INTEGER) AS band, (gx >> CAST(8 * k.k AS INTEGER)) & 255 AS byte FROM pts, range(0, 8) AS k(k)) SELECT status, band, min(byte) = max(byte) AS constant, min(byte) AS value FROM b GROUP BY 1, 2")
+@query(f"WITH {LEAF}, b AS (SELECT leaf_lod, leaf_key, CAST(k.k AS INTEGER) AS band, (gx >> CAST(8 * k.k AS INTEGER)) & 255 AS byte FROM leafed, range(0, 8) AS k(k)) SELECT leaf_lod, leaf_key, band, min(byte) = max(byte) AS constant, min(byte) AS value FROM b GROUP BY 1, 2, 3")
 def codec_constant_bands(spark, sf_dir):
-    return codec.constant_bands(_orders(spark, sf_dir), "gx", ["status"])
+    return codec.constant_bands(_leafed(spark, sf_dir), "gx", UNIT)
 
 
-@query(f"""WITH {P}, d AS (SELECT status, gy, gy - min(gy) OVER (PARTITION BY status) AS rest, gy - coalesce(lag(gy) OVER (PARTITION BY status ORDER BY gy, id), 0) AS delta FROM pts),
-c AS (SELECT status, count(*) * max(length(bin(gy))) AS a, count(*) * max(length(bin(rest))) + 64 AS b, count(*) * (max(length(bin(abs(delta)))) + 1) AS d, CASE WHEN min(gy) = max(gy) THEN 64 END AS e FROM d GROUP BY status)
-SELECT status, path, bits FROM (SELECT status, path, bits, row_number() OVER (PARTITION BY status ORDER BY bits, path) AS rn FROM (SELECT status, 'plain' AS path, a AS bits FROM c UNION ALL SELECT status, 'offset', b FROM c UNION ALL SELECT status, 'delta', d FROM c UNION ALL SELECT status, 'constant', e FROM c WHERE e IS NOT NULL) u) r WHERE rn = 1""")
+@query(f"""WITH {LEAF}, d AS (SELECT leaf_lod, leaf_key, gy, gy - min(gy) OVER (PARTITION BY leaf_lod, leaf_key) AS rest, gy - coalesce(lag(gy) OVER (PARTITION BY leaf_lod, leaf_key ORDER BY gy, id), 0) AS delta FROM leafed),
+c AS (SELECT leaf_lod, leaf_key, count(*) * max(length(bin(gy))) AS a, count(*) * max(length(bin(rest))) + 64 AS b, count(*) * (max(length(bin(abs(delta)))) + 1) AS d, CASE WHEN min(gy) = max(gy) THEN 64 END AS e FROM d GROUP BY 1, 2)
+SELECT leaf_lod, leaf_key, path, bits FROM (SELECT leaf_lod, leaf_key, path, bits, row_number() OVER (PARTITION BY leaf_lod, leaf_key ORDER BY bits, path) AS rn FROM (SELECT leaf_lod, leaf_key, 'plain' AS path, a AS bits FROM c UNION ALL SELECT leaf_lod, leaf_key, 'offset', b FROM c UNION ALL SELECT leaf_lod, leaf_key, 'delta', d FROM c UNION ALL SELECT leaf_lod, leaf_key, 'constant', e FROM c WHERE e IS NOT NULL) u) r WHERE rn = 1""")
 def codec_best_path(spark, sf_dir):
-    return codec.best_path(_orders(spark, sf_dir), "gy", ["status"], ["gy", "id"])
+    return codec.best_path(_leafed(spark, sf_dir), "gy", UNIT, ["gy", "id"])
+
+
+@query(f"WITH {LEAF} SELECT leaf_lod, leaf_key, id, morton, gy AS value FROM leafed")
+def codec_round_trip(spark, sf_dir):
+    """Encoded by the shortest of all paths, and decoded."""
+    points = _leafed(spark, sf_dir).select(*UNIT, "id", "morton", "gy")
+    back = codec.decoded(codec.encoded(points, ["id", "morton", "gy"], UNIT, ["morton", "id"]), ["id", "morton", "gy"], UNIT)
+    return back.withColumnRenamed("gy", "value")
 
 
 # --- LAS fields -------------------------------------------------------------------------------------------------

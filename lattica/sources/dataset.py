@@ -116,10 +116,8 @@ class Dataset:
             front = tree.filter("is_leaf") if lod_mode == "full" else region.frontier_level(tree, level, self.config["root_lod"]) if lod_mode == "level" else region.frontier_budget(tree, max_points, box)
             got = region.take(points, self.table("samples"), front, box, clip)
         names = self.attributes if attributes is None else attributes
-        kinds = dict(got.dtypes)
         got = region.positions(got, position_format, self.config["scale"], tuple(self.config["offset"]))
-        zero = lambda a: F.coalesce(F.col(a), F.lit("" if kinds[a] == "string" else 0).cast(kinds[a])) if a in kinds else F.lit(0)
-        return got.select("lod", "key", "is_lod", "morton", "id", "x", "y", "z", *(zero(a).alias(a) for a in names))
+        return got.select("lod", "key", "is_lod", "morton", "id", "x", "y", "z", *(region.filled(got, a).alias(a) for a in names))
 
     def query_box(self, aabb_min=None, aabb_max=None, attributes: list[str] | None = None, lod: str = "full", level: int = 0, max_points: int = 0, clip_points: bool = True, position_format: str = "r64") -> dict:
         """The result as numpy arrays: xyz (N, 3), each attribute, point_count, node_count. For results that fit a client."""
