@@ -24,24 +24,21 @@ def pyramid(points: DataFrame, tree: DataFrame, full_detail: int = 9) -> DataFra
     """(lod, key, cell, points' columns): of each interior node, the least (morton, id) of every occupied cell.
 
     The choice is associative, so points collapse to their smallest cells once and all levels come from those: each as
-    often as its leaf has ancestors, which are the interior nodes. Only codes and ids are aggregated; positions are
-    decoded from the code, and other columns fetched once for the rows that are in some sample."""
-    codes = points.groupBy("morton").agg(F.min("id").alias("id"))
-    smallest = codes.groupBy(M.prefix("morton", 0).alias("c0")).agg(F.min("morton").alias("morton"), F.min_by("id", "morton").alias("id")).drop("c0")
-    top = tree.agg(F.max("lod")).first()[0]
-    if top is None:
-        top = 0
+    often as its leaf has ancestors, which are the interior nodes. Codes, ids and positions are aggregated, all numbers of
+    one size; other columns are fetched once for the rows that are in some sample."""
+    place = [a for a in ("gx", "gy", "gz") if a in points.columns]
+    codes = points.groupBy("morton").agg(F.min("id").alias("id"), *(F.min(a).alias(a) for a in place))  # a code has one position
+    least = [F.min("morton").alias("morton"), *(F.min_by(c, "morton").alias(c) for c in ("id", *place))]
+    smallest = codes.groupBy(M.prefix("morton", 0).alias("c0")).agg(*least).drop("c0")
+    top = tree.agg(F.max("lod")).first()[0] or 0
     above = octree.leaf_of_point(smallest, 0, tree, top).filter(F.col("leaf_lod") < top)
-    at = above.select("morton", "id", F.explode(F.sequence(F.col("leaf_lod") + 1, F.lit(top))).alias("lod"))
-    fine = at.filter(F.col("lod") <= full_detail)  # here a cell is a smallest one
-    coarse = at.filter(F.col("lod") > full_detail).groupBy("lod", M.prefix("morton", mask_width(F.col("lod"), full_detail)).alias("cell")).agg(F.min("morton").alias("morton"), F.min_by("id", "morton").alias("id"))
-    held = fine.select("lod", M.prefix("morton", 0).alias("cell"), "morton", "id").unionByName(coarse.select("lod", "cell", "morton", "id"))
-    kinds = dict(points.dtypes)
-    place = {a: c.cast(kinds[a]).alias(a) for a, c in zip(("gx", "gy", "gz"), M.decode("morton"), strict=True) if a in kinds}
+    at = above.select("morton", "id", *place, F.explode(F.sequence(F.col("leaf_lod") + 1, F.lit(top))).alias("lod"))
+    fine = at.filter(F.col("lod") <= full_detail).withColumn("cell", M.prefix("morton", 0))  # here a cell is a smallest one
+    coarse = at.filter(F.col("lod") > full_detail).groupBy("lod", M.prefix("morton", mask_width(F.col("lod"), full_detail)).alias("cell")).agg(*least)
+    out = fine.unionByName(coarse).withColumn("key", M.prefix("morton", F.col("lod")))
     others = [c for c in points.columns if c not in ("morton", "id", *place)]
-    out = held.select("lod", M.prefix("morton", F.col("lod")).alias("key"), "cell", "morton", "id", *place.values())
     if others:
-        rows = points.select("morton", "id", *others).join(smallest, ["morton", "id"], "left_semi").dropDuplicates(["morton", "id"])
+        rows = points.select("morton", "id", *others).join(smallest.select("morton", "id"), ["morton", "id"], "left_semi").dropDuplicates(["morton", "id"])
         out = out.join(rows, ["morton", "id"])
     return out.select("lod", "key", "cell", "morton", "id", *(c for c in points.columns if c not in ("morton", "id")))
 
