@@ -195,12 +195,11 @@ class LogBilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(one, two, log_z): log P(w | x, y) = one[x, w] + two[y, w] - log_z[x, y], normalised over all symbols."""
-        word, target, place, bias = (x.astype(np.float64) for x in self.parts())
-        one = word @ place[0] @ target.T
-        two = word @ place[1] @ target.T + bias
+        one = self.word @ self.place[0] @ self.target.T
+        two = self.word @ self.place[1] @ self.target.T + self.bias
         a, b = one.max(1, keepdims=True), two.max(1, keepdims=True)
-        log_z = np.log(np.exp(one - a) @ np.exp(two - b).T) + a + b.T
-        return one.astype(np.float32), two.astype(np.float32), log_z.astype(np.float32)
+        log_z = np.log(np.exp(one - a) @ np.exp(two - b).T) + (a + b.T)
+        return one, two, log_z
 
 
 def contexts(text: np.ndarray, symbol: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
