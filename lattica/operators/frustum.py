@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators import running
+
 AXES = ("gx", "gy", "gz")
 
 
@@ -72,11 +74,16 @@ def edges(tree: DataFrame) -> DataFrame:
     return down.join(up, ["parent_lod", "parent_key"]).select("parent_lod", "parent_key", "lod", "key")
 
 
-def nearest(tree: DataFrame, eye: tuple[float, float, float], budget: int) -> DataFrame:
-    """Leaves, nearest first, while the points of those before are under the budget. Over nodes, not points."""
+def nearest(tree: DataFrame, eye: tuple[float, float, float], budget: int | dict[str, int]) -> DataFrame:
+    """Leaves, nearest first, while those before are under the budget: of points, or of several columns (points, bytes,
+    reads, ...), each of which may end the list."""
+    budgets = {"n": budget} if isinstance(budget, int) else budget
     leaves = tree.filter("is_leaf").withColumn("d2", squared_distance(eye))
-    order = Window.orderBy("d2", "lod", "key").rowsBetween(Window.unboundedPreceding, -1)
-    return leaves.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).filter(F.col("before") < budget)
+    spent = {f"{c}_before": c for c in budgets}
+    out = running.before(leaves, [F.col("d2"), F.col("lod"), F.col("key")], spent)
+    for c, most in budgets.items():
+        out = out.filter(F.col(f"{c}_before") < most)
+    return out
 
 
 def diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import morton as M
-from lattica.operators import octree
+from lattica.operators import octree, running
 
 SLIM = ("rgb", "intensity", "classification")
 
@@ -51,23 +51,25 @@ def cell_median(points: DataFrame, lod: int, full_detail: int = 9) -> DataFrame:
     return ranked.filter(F.col("rank") == F.floor(F.col("n") / 2)).drop("rank")
 
 
-def median_pyramid(points: DataFrame, tree: DataFrame, limit_lods: list[int], full_detail: int = 9) -> DataFrame:
-    """The bottom-up form: each interior node samples its children (their samples, or their points if leaves)."""
-    inner = tree.filter("not is_leaf").select("lod", "key")
+def median_pyramid(points: DataFrame, tree: DataFrame, full_detail: int = 9) -> DataFrame:
+    """(lod, key, points' columns), bottom-up: each interior node merges its children's samples, or their points if they
+    are leaves, and keeps of every cell the row at rank n div 2 by (morton, id).
+
+    A level needs the one below, so each is a checkpoint of its own; a cell holds what eight children left of it."""
+    top = tree.agg(F.max("lod")).first()[0] or 0
+    placed = octree.leaf_of_point(points, 0, tree, top)
+    lods = sorted(r[0] for r in tree.filter("not is_leaf").select("lod").distinct().collect())  # at most the tree's depth
     below, out = None, None
-    for lod in sorted(limit_lods):
-        here = inner.filter(F.col("lod") == lod).select("key")
-        deeper = inner.filter(F.col("lod") == lod - 1).select(F.col("key").alias("child_key"))
-        raw = points.withColumn("key", M.prefix("morton", lod)).withColumn("child_key", M.prefix("morton", lod - 1)).join(here, "key", "left_semi").join(deeper, "child_key", "left_anti").drop("child_key")
-        source = raw if below is None else raw.unionByName(below.withColumn("key", M.prefix("morton", lod)))
+    for lod in lods:
+        raw = placed.filter(F.col("leaf_lod") == lod - 1).select(*points.columns)
+        source = raw if below is None else raw.unionByName(below)
         cells = source.withColumn("cell", M.prefix("morton", mask_width(lod, full_detail)))
-        w = Window.partitionBy("key", "cell")
+        w = Window.partitionBy("cell")
         ranked = cells.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy("morton", "id")) - 1)
-        picked = ranked.filter(F.col("rank") == F.floor(F.col("n") / 2)).drop("rank", "n", "cell")
-        below = picked.drop("key")
-        layer = picked.withColumn("lod", F.lit(lod))
+        below = running.settled(ranked.filter(F.col("rank") == F.floor(F.col("n") / 2)).select(*points.columns))
+        layer = below.select(F.lit(lod).alias("lod"), M.prefix("morton", lod).alias("key"), "*")
         out = layer if out is None else out.unionByName(layer)
-    return out
+    return points.limit(0).select(F.lit(0).alias("lod"), F.lit(0).cast("long").alias("key"), "*") if out is None else out
 
 
 def adaptive_width(points: DataFrame, lod: int, full_detail: int = 9, share: int = 4, most: int = 21) -> int:

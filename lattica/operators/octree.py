@@ -169,3 +169,9 @@ def leaf_of_point(points: DataFrame, limit: int, tree: DataFrame | None = None,
     ups = cells.select("fine", F.explode(F.array(*(F.struct(F.lit(k).alias("lod"), F.call_function("shiftright", F.col("fine"), F.lit(3 * (k - fine))).alias("key")) for k in lods))).alias("at"))
     placed = ups.select("fine", F.col("at.lod").alias("lod"), F.col("at.key").alias("key")).join(leaves, ["lod", "key"]).select("fine", F.col("lod").alias("leaf_lod"), F.col("key").alias("leaf_key"))
     return points.withColumn("fine", M.prefix("morton", fine)).join(placed, "fine").drop("fine")
+
+
+def collapsed(points_with_leaf: DataFrame, part: str) -> DataFrame:
+    """(leaf_lod, leaf_key, parts, collapsed): in how many stored parts each leaf's points lie; one part needs no rewrite."""
+    by = points_with_leaf.groupBy("leaf_lod", "leaf_key").agg(F.count_distinct(part).alias("parts"))
+    return by.withColumn("collapsed", F.col("parts") == 1)

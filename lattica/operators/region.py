@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import morton as M
+from lattica.operators import running
 
 AXES = ("gx", "gy", "gz")
 
@@ -83,13 +84,9 @@ def frontier_budget(tree: DataFrame, budget: int, box: Box | None = None) -> Dat
     """Breadth first until the leaves emitted so far reach the budget: the running count of leaves before an interior
     node decides whether it is descended; nodes with a node among their ancestors that isn't are no candidates.
 
-    The windows run over nodes, not points, in the walk's order: coarse levels first, by key within a level."""
-    near = tree.filter(overlaps(box))
-    held = F.when(F.col("is_leaf"), F.col("n")).otherwise(0)
-    coarser = near.groupBy("lod").agg(F.sum(held).alias("held"))
-    coarser = coarser.select("lod", F.coalesce(F.sum("held").over(Window.orderBy(F.desc("lod")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))  # a row a level
-    order = Window.partitionBy("lod").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    run = near.withColumn("before", F.coalesce(F.sum(held).over(order), F.lit(0))).join(F.broadcast(coarser), "lod").withColumn("before", F.col("before") + F.col("above")).drop("above")
+    The running count is over nodes, not points, in the walk's order: coarse levels first, by key within a level."""
+    near = tree.filter(overlaps(box)).withColumn("held", F.when(F.col("is_leaf"), F.col("n")).otherwise(0))
+    run = running.before(near, [F.desc("lod"), F.col("key")], {"before": "held"}).drop("held")
     down = run.filter(~F.col("is_leaf") & (F.col("before") < budget)).select(F.col("lod").alias("up_lod"), F.col("key").alias("up_key"))
     stays = run.filter(F.col("is_leaf") | (F.col("before") >= budget))
     top = tree.agg(F.max("lod").alias("top"))
@@ -131,8 +128,7 @@ def positions(df: DataFrame, kind: str, scale: float, offset: tuple[float, float
 def segments(result: DataFrame) -> DataFrame:
     """(lod, key, is_lod, first_point, point_count): each node's stretch of the result in walk order."""
     by = result.groupBy("lod", "key", "is_lod").agg(F.count(F.lit(1)).alias("point_count"))
-    w = Window.orderBy(F.desc("lod"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    return by.withColumn("first_point", F.coalesce(F.sum("point_count").over(w), F.lit(0)))
+    return running.before(by, [F.desc("lod"), F.col("key")], {"first_point": "point_count"})
 
 
 def ordered(result: DataFrame) -> DataFrame:

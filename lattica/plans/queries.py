@@ -199,6 +199,11 @@ def leaf_collapse(spark, sf_dir):
     return units.groupBy("leaf_lod", "leaf_key").agg(F.count(F.lit(1)).alias("n"), F.min("morton").alias("low"), F.max("morton").alias("high"))
 
 
+@query(f"WITH {LEAF} SELECT leaf_lod, leaf_key, count(DISTINCT id // 4096) AS parts, count(DISTINCT id // 4096) = 1 AS collapsed FROM leafed GROUP BY 1, 2")
+def collapsed_leaves(spark, sf_dir):
+    return octree.collapsed(_leafed(spark, sf_dir).withColumn("part", F.floor(F.col("id") / 4096)), "part")
+
+
 # --- Region queries ---------------------------------------------------------------------------------------------
 
 
@@ -319,6 +324,23 @@ def lod_pyramid_counts(spark, sf_dir):
     return lod.pyramid(lod.slim(points), tree, DETAIL).groupBy("lod", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _median_sql() -> str:
+    """Level by level, each from the one below."""
+    steps = []
+    for k in range(1, 20):
+        below = f" UNION ALL SELECT id, morton FROM s{k - 1}" if k > 1 else ""
+        cell = f"morton >> {3 * (max(k - DETAIL, 0) + 1)}"
+        ranked = f"SELECT id, morton, count(*) OVER (PARTITION BY {cell}) AS n, row_number() OVER (PARTITION BY {cell} ORDER BY morton, id) - 1 AS rank FROM (SELECT id, morton FROM leafed WHERE leaf_lod = {k - 1}{below}) u"
+        steps.append(f"s{k} AS MATERIALIZED (SELECT id, morton FROM ({ranked}) x WHERE rank = n // 2 AND {k} <= (SELECT r FROM root))")
+    return f"WITH {LEAF}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {k} AS lod, morton >> {3 * (k + 1)} AS key, id, morton FROM s{k}" for k in range(1, 20))
+
+
+@query(_median_sql())
+def lod_median_pyramid(spark, sf_dir):
+    points, _, tree = _tree(spark, sf_dir)
+    return lod.median_pyramid(points.select("id", "morton"), tree, DETAIL).select("lod", "key", "id", "morton")
+
+
 @query(f"WITH {P} SELECT cell, n, id, morton FROM (SELECT *, morton >> {3 * 7} AS cell, count(*) OVER (PARTITION BY morton >> {3 * 7}) AS n, row_number() OVER (PARTITION BY morton >> {3 * 7} ORDER BY morton, id) - 1 AS rank FROM pts) x WHERE rank = n // 2")
 def lod_representatives(spark, sf_dir):
     return lod.cell_median(_orders(spark, sf_dir), 11, DETAIL).select("cell", "n", "id", "morton")
@@ -403,6 +425,12 @@ def nearest_nodes_budget(spark, sf_dir):
     return frustum.nearest(_nodes(spark, sf_dir), EYE, 3000).select("lod", "key", "n")
 
 
+@query(f"WITH {NODES}, d AS (SELECT lod, key, n, n * 24 AS bytes, coalesce(sum(n) OVER w, 0) AS before, coalesce(sum(n * 24) OVER w, 0) AS bytes_before, row_number() OVER (ORDER BY {_D2}, lod, key) - 1 AS reads_before FROM nodes WHERE is_leaf WINDOW w AS (ORDER BY {_D2}, lod, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT lod, key, n, bytes FROM d WHERE before < 3000 AND bytes_before < 40000 AND reads_before < 25")
+def nearest_nodes_budgets(spark, sf_dir):
+    tree = _nodes(spark, sf_dir).withColumn("bytes", F.col("n") * 24).withColumn("reads", F.lit(1))
+    return frustum.nearest(tree, EYE, {"n": 3000, "bytes": 40_000, "reads": 25}).select("lod", "key", "n", "bytes")
+
+
 @query(f"WITH {NODES}, a AS (SELECT lod, key FROM nodes WHERE is_leaf AND {OVERLAP_SQL}), b AS (SELECT lod, key FROM nodes WHERE is_leaf AND ({_VIEW}) <> 'outside') SELECT coalesce(a.lod, b.lod) AS lod, coalesce(a.key, b.key) AS key, CASE WHEN a.lod IS NULL THEN 'in' WHEN b.lod IS NULL THEN 'out' ELSE 'stay' END AS status FROM a FULL JOIN b ON a.lod = b.lod AND a.key = b.key")
 def node_diff(spark, sf_dir):
     tree = _tree(spark, sf_dir)[2].filter("is_leaf")
@@ -573,6 +601,11 @@ led AS (SELECT name, CAST({clouds._interleave()} AS BIGINT) AS input_order, mort
 mark AS (SELECT CASE WHEN (SELECT done FROM led WHERE started ORDER BY input_order, name LIMIT 1) AND bound > 0 THEN bound END AS done_morton FROM (SELECT least(coalesce((SELECT least(morton_min, input_order) FROM led WHERE started AND NOT done ORDER BY input_order, name LIMIT 1), 9223372036854775807), coalesce((SELECT min(input_order) FROM led WHERE NOT started), 9223372036854775807)) AS bound) q)"""
 
 
+@query(f"WITH {_LEDGER}, c AS (SELECT l.*, b.sub_count FROM led l JOIN b USING (name)) SELECT CASE WHEN done THEN 'done' WHEN started THEN 'reading' ELSE 'waiting' END AS state, count(*) AS inputs, CAST(sum(sub_count) AS BIGINT) AS parts, CAST(sum(CASE WHEN started AND NOT done THEN 0 ELSE sub_count END) AS BIGINT) AS inserted FROM c GROUP BY 1")
+def ledger_states(spark, sf_dir):
+    return ledger.states(_ledger(spark, sf_dir))
+
+
 @query(f"WITH {_LEDGER} SELECT done_morton FROM mark")
 def done_morton_watermark(spark, sf_dir):
     return ledger.done_morton(_ledger(spark, sf_dir))

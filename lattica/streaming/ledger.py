@@ -2,16 +2,20 @@
 
 Inputs are dispatched in the order of their bounding boxes' least Morton codes. The done-Morton bound is the least code
 that an input still to come can hold; nodes wholly below it are final, and points that arrive below it later are late.
-Final nodes are only labelled, with their band: ingest() stores the batches, and builds no samples and writes no bands.
+ingest() stores the batches; whenever the bound has advanced, a pass builds the samples of the interior nodes that have
+become final since the last one, and writes them as a band. A node is in one band only, and a band never changes.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators import lod, octree, running
+
 ALL_DONE = (1 << 63) - 1
 
 
@@ -63,7 +67,65 @@ def dispatch_order(inputs: DataFrame) -> DataFrame:
     from lattica.functions.morton import encode
 
     coded = inputs.withColumn("input_order", encode("min_gx", "min_gy", "min_gz"))
-    return coded.withColumn("place", F.row_number().over(Window.orderBy("input_order", "name")) - 1)  # a row an input file
+    return running.before(coded.withColumn("one", F.lit(1)), [F.col("input_order"), F.col("name")], {"place": "one"}).drop("one")
+
+
+def states(ledger: DataFrame) -> DataFrame:
+    """(state, inputs, parts, inserted): how many inputs wait, are being read, wait for their parts, or are done."""
+    done = F.col("read_finished") & (F.col("inserted") == F.col("sub_count"))
+    state = F.when(done, "done").when(F.col("read_finished"), "inserting").when(F.col("read_started"), "reading").otherwise("waiting")
+    return ledger.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("inputs"), F.sum("sub_count").alias("parts"), F.sum("inserted").alias("inserted"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def build_band(points: DataFrame, out: str, band: int, bound: int | None, limit: int, full_detail: int = 9) -> DataFrame | None:
+    """Write the samples of the interior nodes that are final at `bound` and in no earlier band, as `out`/band=<band>;
+    returns their table, or None where nothing is final.
+
+    Only points below the bound matter: a final node has all of its points there, and so have its ancestors those that
+    make them interior. A band that is written again overwrites its own folder alone."""
+    spark = points.sparkSession
+    below = late(points, bound)
+    if bound is None or below.isEmpty():
+        return None
+    tree = running.settled(octree.nodes(below, limit))
+    ready = final_nodes(tree, bound).filter("state = 'final' and not is_leaf").select("lod", "key")
+    earlier = [f"{out}/band={k}" for k in range(band) if _exists(spark, f"{out}/band={k}/_SUCCESS")]
+    if earlier:
+        ready = ready.join(spark.read.parquet(*earlier).select("lod", "key").distinct(), ["lod", "key"], "left_anti")
+    samples = lod.pyramid(lod.slim(below), tree, full_detail).join(ready, ["lod", "key"], "left_semi")
+    samples.write.mode("overwrite").parquet(f"{out}/band={band}")
+    return spark.read.schema(samples.schema).parquet(f"{out}/band={band}")
+
+
+class Passes:
+    """Called after each stored batch (ingest's on_batch): runs a pass whenever the bound that `bound_of` gives has
+    advanced. A band that fails `attempts` times is parked: its nodes stay undone, and the next pass takes them."""
+
+    def __init__(self, spark: SparkSession, stored: str, out: str, bound_of: Callable[[int], int | None], limit: int, full_detail: int = 9, attempts: int = 5):
+        self.spark, self.stored, self.out, self.bound_of = spark, stored, out, bound_of
+        self.limit, self.full_detail, self.attempts = limit, full_detail, attempts
+        self.bound: int | None = None
+        self.parked: dict[int, str] = {}
+
+    def __call__(self, _: DataFrame, batch: int) -> None:
+        bound = self.bound_of(batch)
+        if bound is None or (self.bound is not None and bound <= self.bound):
+            return
+        for attempt in range(self.attempts):
+            try:
+                build_band(self.spark.read.parquet(self.stored).drop("batch"), self.out, batch, bound, self.limit, self.full_detail)
+            except Exception as e:  # whatever the store or a lost executor raises
+                self.parked[batch] = str(e)
+                time.sleep(min(0.5 * 2**attempt, 4.0) if attempt + 1 < self.attempts else 0)
+            else:
+                self.parked.pop(batch, None)
+                self.bound = bound
+                return
 
 
 def ingest(spark: SparkSession, source: DataFrame, out: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):

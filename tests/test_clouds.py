@@ -89,7 +89,7 @@ def test_frontier_has_no_ancestors(grid):
 def test_sample_sizes_need_no_iteration(grid):
     tree = octree.nodes(grid, 900)
     got = {(r["lod"], r["key"]): r["n"] for r in lod.pyramid(grid, tree, 2).groupBy("lod", "key").agg(F.count(F.lit(1)).alias("n")).collect()}
-    median = lod.median_pyramid(grid.select("id", "morton"), tree, sorted({k[0] for k in got}), 2).groupBy("lod", "key").agg(F.count(F.lit(1)).alias("n")).collect()
+    median = lod.median_pyramid(grid.select("id", "morton"), tree, 2).groupBy("lod", "key").agg(F.count(F.lit(1)).alias("n")).collect()
     assert got and {(r["lod"], r["key"]): r["n"] for r in median} == got
 
 
@@ -211,6 +211,42 @@ def test_incremental_equals_single_pass(spark, grid, tmp_path):
     assert key(octree.nodes(got, 900)) == key(octree.nodes(grid, 900))
 
 
+def test_bands_hold_each_final_node_once(spark, grid, tmp_path):
+    """Rising inputs: a pass a batch; at the end all interior nodes are built, as one pass over everything builds them."""
+    src, stored, out = (str(tmp_path / n) for n in ("src", "stored", "bands"))
+    grid.select("id", "gx", "gy", "gz", "morton").repartitionByRange(4, "morton").write.parquet(src)
+    files = sorted(glob.glob(f"{src}/*.parquet"))
+    lows = [spark.read.parquet(f).agg(F.min("morton")).first()[0] for f in files]
+    bounds = [*lows[1:], ledger.ALL_DONE]
+    for k, f in enumerate(files):  # the order of dispatch
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    passes = ledger.Passes(spark, stored, out, lambda batch: bounds[batch], 300, 2)
+    ledger.ingest(spark, stream, stored, str(tmp_path / "ck"), passes).awaitTermination(300)
+    assert not passes.parked and passes.bound == ledger.ALL_DONE
+    got = [(r["lod"], r["key"], r["cell"], r["morton"], r["id"]) for r in spark.read.parquet(out).collect()]
+    tree = octree.nodes(grid, 300)
+    want = [(r["lod"], r["key"], r["cell"], r["morton"], r["id"]) for r in lod.pyramid(lod.slim(grid), tree, 2).collect()]
+    assert sorted(got) == sorted(want)
+    bands = spark.read.parquet(out).groupBy("lod", "key").agg(F.count_distinct("band").alias("n")).collect()
+    assert {r["n"] for r in bands} == {1} and spark.read.parquet(out).select("band").distinct().count() > 2
+    failing = ledger.Passes(spark, str(tmp_path / "nothing"), out, lambda _: 5, 300, attempts=1)
+    failing(None, 9)
+    assert 9 in failing.parked and failing.bound is None
+
+
+def test_running_totals_in_ranges(spark):
+    from lattica.operators import running
+
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 11).alias("v"), F.lit(1).alias("one"))
+    got = {r["k"]: (r["s"], r["place"]) for r in running.before(df, [F.desc("k")], {"s": "v", "place": "one"}).collect()}
+    total, want = 0, {}
+    for k, v in sorted(((r["k"], r["v"]) for r in df.collect()), reverse=True):
+        want[k] = (total, 4999 - k)
+        total += v
+    assert got == want
+
+
 @pytest.mark.parametrize("kind", range(11))
 def test_las_formats(spark, tmp_path, kind):
     path = str(tmp_path / f"f{kind}.las")
@@ -314,4 +350,12 @@ def test_command_line(spark, tmp_path, capsys):
     for args in (["info", str(tmp_path / "ds")], ["extract", str(tmp_path / "ds"), "--nodes"], ["laz", str(tmp_path / "a.las"), "--points", "3"], ["copy", str(tmp_path / "ds"), str(tmp_path / "c")]):
         assert cli.main(args, spark) == 0
     assert "101" in capsys.readouterr().out
+    assert cli.main(["query", str(tmp_path / "ds"), "--attributes", "intensity", "-o", f"file://{tmp_path}/raw", "--stats", "--memory", "16M"], spark) == 0
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/raw/x-*.bin")) == 500 * 8
+    assert cli.main(["query", str(tmp_path / "ds"), "--lod", "8", "-o", f"file://{tmp_path}/nodes", "--per-node"], spark) == 0
+    assert glob.glob(f"{tmp_path}/nodes/*-*/x-*.bin")
+    node = spark.read.parquet(str(tmp_path / "ds" / "nodes")).filter("is_leaf").first()
+    assert cli.main(["extract", str(tmp_path / "ds"), "--node", f"{node['lod']}:{node['key']}"], spark) == 0
+    assert cli.main(["extract", str(tmp_path / "ds"), "--hex", "gx", "--count", "2"], spark) == 0
+    assert "00000000  00 00 00 00" in capsys.readouterr().out
     assert cli.byte_size("64M") == 64 << 20 and cli.lod_mode("budget:9") == ("budget", 0, 9)
