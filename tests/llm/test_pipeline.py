@@ -47,3 +47,28 @@ def test_stages(spark):
 def test_run(spark):
     rows = P.run(spark, SF).collect()
     assert rows and all(r["length"] <= 2048 for r in rows)
+
+
+EDGE = "doc_id long, text string, rid long, row string, root long, score double, spans string, chars long, n_chars long"
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    text = " ".join(f"word{k}" for k in range(90))
+    rows = [(1, text), (1, text), (None, text), (None, None), (None, None), (5, ""), (6, "  "), (7, "x " * 40_000), (8, text + " end"), (9, "short")]
+    docs = spark.createDataFrame([(d, t, 1, "r", 2, 0.5, "s", 3, len(t or "")) for d, t in rows], EDGE)
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = common.save(stage(spark, kept, SF), "test-edge")
+        assert kept.columns == docs.columns, name
+        assert all((r["rid"], r["row"], r["root"], r["spans"], r["chars"]) == (1, "r", 2, "s", 3) and r["n_chars"] == len(r["text"] or "") for r in kept.collect())
+    one = P.one_of_each_group(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in one) == [("1", "word0"), ("5", ""), ("7", "x x x"), ("9", "short")]
+    packed = P.pack(spark, kept, SF).collect()
+    assert len({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packed}) == len(packed) and len(packed) >= kept.count()
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], EDGE)
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.count() == 0 and (name == "packing" or got.columns == docs.columns)
