@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import keyed
+from lattica.llm.common import keyed, save
 
 SMALL_LIST = 100_000
 
@@ -49,6 +49,17 @@ def changes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CHANGES, "kind string, pattern string, verdict string, action string, day string").withColumn("day", F.to_date("day"))
 
 
+def host_changes(captures: DataFrame, url: str = "url") -> DataFrame:
+    """A list that grows with the captures: of their hosts, those whose MD5 says so, added on a day of 2024 that it gives
+    and some removed again later."""
+    hosts = with_keys(captures, url).select("host").filter("host <> ''").distinct().withColumn("v", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")).filter("v % 4 = 0")
+    added = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("v") % 366).cast("int"))
+    removed = F.date_add(added, (F.col("v") % 100 + 30).cast("int"))
+    days = F.array(F.struct(F.lit("add").alias("action"), added.alias("day")), F.struct(F.when(F.col("v") % 3 == 0, "remove").alias("action"), removed.alias("day")))
+    rows = hosts.select("host", "v", F.explode(days).alias("c")).filter("c.action is not null")
+    return rows.select(F.lit("domain").alias("kind"), F.col("host").alias("pattern"), F.when(F.col("v") % 5 == 0, "allow").otherwise("block").alias("verdict"), "c.action", "c.day")
+
+
 def intervals(log: DataFrame) -> DataFrame:
     """(kind, pattern, verdict, since, until): half-open; until is null while the entry holds."""
     whole = log.select("kind", F.lower("pattern").alias("pattern"), "verdict", "action", "day").dropna()
@@ -72,8 +83,8 @@ def with_keys(captures: DataFrame, url: str = "url") -> DataFrame:
 def evaluate(captures: DataFrame, log: DataFrame, id_col: str = "page_id", day: str = "fetched_on") -> DataFrame:
     """id_col, host, fetched day, n_active, pattern, decision of every capture. captures: (id_col, url, day)."""
     rows = with_keys(keyed(captures, id_col, ("url", day), "url-keyed"))
-    held = intervals(log)
-    if held.limit(SMALL_LIST + 1).count() <= SMALL_LIST:
+    held = save(intervals(log), "url-intervals")
+    if held.count() <= SMALL_LIST:
         held = F.broadcast(held)
     on = rows.select("rid", F.col(day).alias("at"), F.explode("keys").alias("key")).select("rid", "at", "key.kind", "key.pattern")
     active = on.join(held, ["kind", "pattern"]).filter("since <= at and (until is null or at < until)")
@@ -82,21 +93,26 @@ def evaluate(captures: DataFrame, log: DataFrame, id_col: str = "page_id", day:
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """Every page against the fixed list; a page counts as fetched on day page_id mod 366 of 2024."""
+    """Every page against the fixed list and that of the pages' own hosts; a page counts as fetched on day page_id mod 366
+    of 2024."""
     captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_on"))
-    return evaluate(captures, changes(pages.sparkSession))
+    return evaluate(captures, changes(pages.sparkSession).unionByName(host_changes(pages)))
 
 
 ORACLE = f"""
-WITH log(kind, pattern, verdict, action, day) AS (VALUES {", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in CHANGES)}),
-held AS (
-  SELECT kind, pattern, verdict, since, until FROM (
-    SELECT kind, pattern, verdict, action, CAST(day AS DATE) AS since, lead(CAST(day AS DATE)) OVER (PARTITION BY kind, pattern ORDER BY CAST(day AS DATE), action, verdict) AS until FROM log) x
-  WHERE action = 'add' AND (until IS NULL OR since < until)),
-base AS (
+WITH base AS (
   SELECT page_id, CAST('2024-01-01' AS DATE) + CAST(page_id % 366 AS INTEGER) AS fetched,
     lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS seg FROM pages),
+hosts AS (SELECT host, v, CAST('2024-01-01' AS DATE) + CAST(v % 366 AS INTEGER) AS added FROM (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS v FROM base WHERE host <> '') h WHERE v % 4 = 0),
+log(kind, pattern, verdict, action, day) AS (
+  SELECT kind, pattern, verdict, action, CAST(day AS DATE) FROM (VALUES {", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in CHANGES)}) f(kind, pattern, verdict, action, day)
+  UNION ALL SELECT 'domain', host, CASE WHEN v % 5 = 0 THEN 'allow' ELSE 'block' END, 'add', added FROM hosts
+  UNION ALL SELECT 'domain', host, CASE WHEN v % 5 = 0 THEN 'allow' ELSE 'block' END, 'remove', added + CAST(v % 100 + 30 AS INTEGER) FROM hosts WHERE v % 3 = 0),
+held AS (
+  SELECT kind, pattern, verdict, since, until FROM (
+    SELECT kind, pattern, verdict, action, day AS since, lead(day) OVER (PARTITION BY kind, pattern ORDER BY day, action, verdict) AS until FROM log) x
+  WHERE action = 'add' AND (until IS NULL OR since < until)),
 keys AS (
   SELECT page_id, fetched, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS pattern FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM base) a
   UNION SELECT page_id, fetched, 'word', unnest(string_split(replace(host, '-', '.'), '.')) FROM base
