@@ -7,8 +7,9 @@ Every start of a `LENGTH`-byte string is sent where all equal strings meet, with
    (anchor hash, content hash, row, place) of each piece is written, and anchors that occur once are dropped.
 2. Equal pieces are pre-aggregated: where there are several, each of their starts is repeated. Anchors of several
    different pieces need the suffix order, for which one copy of each piece's bytes is fetched.
-3. The pieces of an anchor form a text. Its suffix array (`gsaca`) puts equal strings side by side; a start is repeated
-   if a neighbour shares its first `LENGTH` bytes, which are compared byte by byte.
+3. The pieces of an anchor that may share a string, by the bytes around it, form a text. Its suffix array (`gsaca`) puts
+   equal strings side by side; a start is repeated if a neighbour shares its first `LENGTH` bytes, which are compared
+   byte by byte.
 4. Anchors whose pieces exceed `TEXT_BYTES` are split before step 3: by where the anchor stands in the string, in
    `WAYS`, each part keyed by the longer bytes that all its strings share. What differs there parts; what is equal
    collapses. After four rounds a part is one string and holds nothing but copies, so no frequent passage gathers
@@ -23,6 +24,7 @@ other equal texts. Null and repeated ids are served by numbered rows (`common.ke
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +180,23 @@ def _ranges(marks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(marks.view(np.int8), prepend=0, append=0)).reshape(-1, 2)
 
 
+_STEP = -(-(LENGTH - GRAM) // WAYS)
+#: Ranges of the distance from a string's start to its anchor, inclusive; together all distances.
+RANGES = [(lo, min(lo + _STEP, LENGTH - GRAM)) for lo in range(0, LENGTH - GRAM, _STEP)]
+
+
+def rivals(pieces: list[tuple]) -> list[tuple]:
+    """The pieces of an anchor that may have a string in common with another one: for some range of distances, the bytes
+    around the anchor that all strings there hold are also in another piece. The rest needn't be sorted."""
+    seen: Counter[tuple[int, bytes]] = Counter()
+    own = []
+    for _, _, _, back, data in pieces:
+        least = back - (len(data) - LENGTH)
+        own.append([(lo, data[back - lo : back - hi + LENGTH]) for lo, hi in RANGES if lo <= back and least <= hi])
+        seen.update(own[-1])
+    return [p for p, windows in zip(pieces, own, strict=True) if any(seen[w] > 1 for w in windows)]
+
+
 def _order(pieces: DataFrame) -> DataFrame:
     """(key, content, back_from, back_to): repeated starts, by their distance before the anchor (inclusive).
 
@@ -189,6 +208,7 @@ def _order(pieces: DataFrame) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             out = []
+            texts[:] = [t for t in map(rivals, texts) if t]
             texts.sort(key=lambda t: sum(len(p[4]) for p in t))
             at = 0
             while at < len(texts):

@@ -106,6 +106,25 @@ def test_segments_have_each_start_once():
         assert sorted(starts) == list(range(2801))
 
 
+def test_pieces_left_out_of_the_sort_share_no_string():
+    rng = random.Random(9)
+    anchor = bytes(rng.randrange(97, 123) for _ in range(32))
+    for _ in range(200):
+        sides = [bytes(rng.randrange(97, 123) for _ in range(168)) for _ in range(3)]
+        pieces = []
+        for _ in range(rng.randint(2, 6)):
+            low, high = sorted((rng.randint(0, 168), rng.randint(0, 168)))  # distances from a start to the anchor
+            left, right = bytearray(rng.choice(sides)), bytearray(rng.choice(sides))
+            if rng.random() < 0.7:
+                left[rng.randrange(168)] = 65
+                right[rng.randrange(168)] = 66
+            data = bytes(left)[168 - high :] + anchor + bytes(right)[: 168 - low]
+            pieces.append((1, len(pieces), 1, high, data))
+        strings = [{p[4][k : k + 200] for k in range(len(p[4]) - 199)} for p in pieces]
+        shares = {i for i, a in enumerate(strings) for j, b in enumerate(strings) if i != j and a & b}
+        assert shares <= {p[1] for p in suffix_dedup.rivals(pieces)}
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for alphabet in (1, 2, 3, 20):
