@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -125,6 +126,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
                 end += 1
             yield batch.slice(at, end - at), texts[at:end]
             at = end
+    give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class Words:

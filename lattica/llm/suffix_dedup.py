@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import boxed, drop, free_shuffles, keyed, mix, save, slices, unboxed
+from lattica.llm.common import boxed, drop, free_shuffles, give_back, keyed, mix, save, slices, unboxed
 from lattica.llm.gsaca import suffix_arrays
 
 LENGTH, GRAM, TEXT_BYTES, WAYS = 200, 32, 1 << 15, 4
@@ -234,6 +234,8 @@ def _order(pieces: DataFrame) -> DataFrame:
                 size += len(p[4])
         if texts:
             yield close()
+            texts.clear()
+        give_back()
 
     return pieces.select("key", "content", "n", "back", "bytes").repartition("key").sortWithinPartitions("key", "content").mapInArrow(run, "key long, content long, back_from long, back_to long")
 
