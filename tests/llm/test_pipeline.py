@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage, on the smallest tables."""
 
+from pathlib import Path
+
 import corpus_pipeline as P
 from lattica.llm import common, decontam, packing, suffix_dedup, toxicity
 
@@ -45,8 +47,11 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "lattica"
+    before = set(folder.glob("pipeline-*"))
     rows = P.run(spark, SF).collect()
     assert rows and all(r["length"] <= 2048 for r in rows)
+    assert [p.name.rsplit("-", 1)[0] for p in set(folder.glob("pipeline-*")) - before] == ["pipeline-decontamination"]  # of the stages' tables the last alone
 
 
 EDGE = "doc_id long, text string, rid long, row string, root long, score double, spans string, chars long, n_chars long"
