@@ -1,14 +1,18 @@
 """SimHash near-duplicates made whole: texts whose sets of five-word shingles have a Jaccard similarity of at least 4/5.
 
-Candidates come from the SimHash operator first: fingerprints of the five-word shingles, linked at few differing bits by
-its index over byte positions. Its radius misses most pairs at 0.8 (see the README), so a second search adds what it
-misses, and every candidate is checked on the sets. That search is whole: with any fixed order of shingles, two such sets share one of each other's first n - ceil(4n/5) + 1
+The SimHash operator groups texts first: fingerprints of their single words, repeats included, linked at few differing
+bits by its index over byte positions, each link checked on the sets of shingles. Fingerprints of the shingles themselves
+would not do: a changed word changes five of them, and hardly a pair at 0.8 stays within the radius (see the README).
+
+A second search takes these groups as they are and looks only for links between different ones, which the radius misses.
+It is whole: with any fixed order of shingles, two such sets share one of each other's first n - ceil(4n/5) + 1
 (prefix filter), so lists keyed by these shingles hold every pair. The order puts shingles that a sample of the texts
 holds often last, which keeps lists short; it decides the cost and never the result. Pairs of a list are left out only
-where sizes, or the bits in which their parity bitmaps differ, already exclude the similarity: bitmaps of `BITMAP` bits
-within the lists, then bitmaps of at least two bits a shingle, which hardly a pair below 0.75 passes. The rest are
-checked on the sets themselves, so sets travel for few pairs but links. In a list of more than `LONG` texts each is first compared with one of them, and afterwards only
-with those that no link yet leads to, so that a large group of near copies doesn't yield all its pairs.
+where a group holds both, or where sizes, or the bits in which their parity bitmaps differ, already exclude the
+similarity: bitmaps of `BITMAP` bits within the lists, then bitmaps of at least two bits a shingle, which hardly a pair
+below 0.75 passes. The rest are checked on the sets themselves, so sets travel for few pairs but links. In a list of more
+than `LONG` texts each is first compared with one of them, and afterwards only with those that no link yet leads to, so
+that a large group of near copies doesn't yield all its pairs.
 
 Shingles count as equal by a 64-bit hash. Texts of the same words (128 bits of hash, case of ASCII letters ignored) are
 copies, empty ones too; fewer than five words are one shingle.
@@ -32,12 +36,16 @@ WIDTH, LONG, BITMAP = 5, 2, 512
 SAMPLE, COMMON = 16, 1 << 18
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sizes): each text's different shingles, ascending, text after text."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): each text's words in their order, text after text."""
     w = Words([t.lower() for t in texts])
-    h, n = w.hashes(), w.count
+    return w.hashes(), w.count
+
+
+def shingle_sets(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): each text's different shingles, ascending, text after text. h, n: its words (`word_hashes`)."""
     k = np.maximum(n - WIDTH + 1, (n > 0).astype(n.dtype))
-    doc = np.repeat(np.arange(w.n), k)
+    doc = np.repeat(np.arange(len(n)), k)
     if not len(doc):
         return np.zeros(0, np.uint64), k
     place = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
@@ -49,7 +57,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out, doc = out[order], doc[order]
     new = np.ones(len(out), bool)
     new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
-    return out[new], np.bincount(doc[new], minlength=w.n)
+    return out[new], np.bincount(doc[new], minlength=len(n))
 
 
 def bitmaps(h: np.ndarray, size: np.ndarray) -> list[bytes]:
@@ -73,7 +81,7 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(texts)[0].view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(*word_hashes(texts))[0].view(np.int64))], names=["h"])
 
     some = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("text")
     top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
@@ -83,13 +91,14 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rid, words (hash of the word sequence), size, prefix, bitmap (of BITMAP bits), wide (of two bits a shingle), fp (SimHash)."""
+    """rid, words (hash of the word sequence), size, prefix, bitmap (of BITMAP bits), wide (of two bits a shingle), fp (SimHash of the words)."""
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         for part, texts in slices(batches):
-            h, size = shingle_sets(texts)
+            each, count = word_hashes(texts)
+            h, size = shingle_sets(each, count)
             doc = np.repeat(np.arange(len(texts)), size)
             wide = bitmaps(h, size)
             rank = np.zeros(len(h), np.int64)
@@ -102,7 +111,7 @@ def signatures(rows: DataFrame) -> DataFrame:
             prefix = h[order][place < length[doc]]
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             words = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-            cols = [part.column("rid"), pa.array(words, pa.binary()), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64))), pa.array([folded(b, BITMAP // 8).tobytes() for b in wide], pa.binary()), pa.array(wide, pa.binary()), pa.array(majority(h, size).view(np.int64))]
+            cols = [part.column("rid"), pa.array(words, pa.binary()), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64))), pa.array([folded(b, BITMAP // 8).tobytes() for b in wide], pa.binary()), pa.array(wide, pa.binary()), pa.array(majority(each, count).view(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "words", "size", "prefix", "bitmap", "wide", "fp"])
 
     return rows.select("rid", "text").mapInArrow(run, "rid long, words binary, size int, prefix array<long>, bitmap binary, wide binary, fp long")
@@ -163,8 +172,8 @@ def _different(found: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pairs(lists: DataFrame, long: int, second: bool) -> DataFrame:
-    """Different (a, b), a < b, that may be similar. lists: h, rid, size, root, bitmap. second: of long lists, the pairs
-    between different roots; else all pairs of short lists, and in long ones each text with one of them."""
+    """Different (a, b), a < b, of different roots, that may be similar. lists: h, rid, size, root, bitmap. second: all
+    such pairs of long lists; else all of short lists, and in long ones each text with one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (h, rid, size, root, bitmap), first, last in _lists(batches):
@@ -172,13 +181,13 @@ def _pairs(lists: DataFrame, long: int, second: bool) -> DataFrame:
             found = [np.zeros((2, 0), np.int64)]
             for begin, end in zip(first.tolist(), last.tolist(), strict=True):
                 r, s, c, m = rid[begin:end], size[begin:end], root[begin:end], bitmap[begin:end]
-                if second and (end - begin <= long or (c == c[0]).all()):
+                if (second and end - begin <= long) or (c == c[0]).all():
                     continue
                 # the one that all are compared with is the same in a group's many lists, so that these give few different pairs
                 pivots = range(len(r)) if second or len(r) <= long else [int(np.argmin(r))]
                 for i in pivots:
                     rest = slice(i + 1, None) if len(pivots) > 1 else slice(None)
-                    ok = _possible(s[i], s[rest], m[i], m[rest]) & ((c[rest] != c[i]) if second else (r[rest] != r[i]))
+                    ok = _possible(s[i], s[rest], m[i], m[rest]) & (c[rest] != c[i])
                     other = r[rest][ok]
                     if len(other):
                         found.append(np.stack([np.minimum(other, r[i]), np.maximum(other, r[i])]))
@@ -213,7 +222,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame) -> DataFrame
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            h, size = shingle_sets(texts)
+            h, size = shingle_sets(*word_hashes(texts))
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([x.tobytes() for x in np.split(h, np.cumsum(size)[:-1])], pa.binary())], names=["rid", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +235,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame) -> DataFrame
 
     spark = rows.sparkSession
     wide = lambda k, v, n: signed.select(F.col("rid").alias(k), F.col("wide").alias(v), F.col("size").alias(n))
-    left = save(pairs.join(wide("a", "x", "m"), "a").join(wide("b", "y", "n"), "b").select("a", "b", "x", "y", "m", "n").mapInArrow(sift, "a long, b long"), "near-left")
+    sized = pairs.join(wide("a", "x", "m"), "a").join(wide("b", "y", "n"), "b").filter(5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))
+    left = save(sized.select("a", "b", "x", "y", "m", "n").mapInArrow(sift, "a long, b long"), "near-left")
     drop(pairs)
     free_shuffles(spark)
     pairs = left
@@ -241,6 +251,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame) -> DataFrame
     return links
 
 
+def _placed(texts: DataFrame, root: DataFrame) -> DataFrame:
+    """With the column root: the group that the links known so far lead to."""
+    return texts.join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+
+
 def groups(rows: DataFrame, long: int = LONG) -> DataFrame:
     """(rid, root): root is the least rid reachable over copies and links. rows: rid (unique), text."""
     spark = rows.sparkSession
@@ -252,15 +267,15 @@ def groups(rows: DataFrame, long: int = LONG) -> DataFrame:
     similar = save(_near_fingerprints(ones.select("rid", "fp")), "near-simhash")
     maps = save(signed.select("rid", "size", "bitmap", "wide"), "near-bitmaps")
     drop(signed)
-    lists = save(short.join(maps.select("rid", "size", "bitmap"), "rid").withColumn("root", F.col("rid")), "near-members")
+    root = components(_verified(similar, rows, maps), "near-cc")
+    lists = save(short.join(_placed(maps.select("rid", "size", "bitmap"), root), "rid"), "near-members")
     drop(short)
     free_shuffles(spark)
-    links = _verified(save(_pairs(lists, long, False).union(similar).distinct(), "near-pairs"), rows, maps)
-    root = components(links, "near-cc")
+    # what follows leaves out the pairs that a group holds, so each round goes on from the groups of the one before
+    more = lambda found: components(root.toDF("src", "dst").union(_verified(save(found, "near-pairs"), rows, maps)), "near-cc")
+    root = more(_pairs(lists, long, False))
     if lists.groupBy("h").count().filter(F.col("count") > long).limit(1).count():
-        placed = lists.drop("root").join(root.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        more = _verified(save(_pairs(placed, long, True), "near-pairs"), rows, maps)
-        root = components(links.union(more), "near-cc")
+        root = more(_pairs(_placed(lists.drop("root"), root), long, True))
     drop(lists)
     drop(maps)
     free_shuffles(spark)

@@ -42,6 +42,39 @@ def test_near_copies_match_brute_force(spark, long):
     assert {x["doc_id"] for x in near_copies.representatives(docs, long).collect()} == want
 
 
+def test_second_search_goes_on_from_the_groups_of_simhash(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        base = r.choices(words, k=300)
+        for place in range(10):
+            texts.append(" ".join([*base[: 30 * place], r.choice(words), *base[30 * place + 1 :]]))
+    fp = near_copies.majority(*near_copies.word_hashes([t.encode() for t in texts]))
+    group = list(range(60))  # by brute force: what the fingerprints tie together
+    for i in range(60):
+        for j in range(i):
+            if (int(fp[i]) ^ int(fp[j])).bit_count() <= 2 and group[i] != group[j]:
+                group = [group[j] if x == group[i] else x for x in group]
+    assert len(set(group)) < 10 and all(g // 10 == k // 10 for k, g in enumerate(group))
+    left, pairs = [], near_copies._pairs
+
+    def spy(*args):
+        out = pairs(*args)
+        left.extend((x["a"], x["b"]) for x in out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "_pairs", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = lambda: {x["doc_id"] for x in near_copies.representatives(docs).collect()}
+    assert kept() == set(range(0, 60, 10))
+    assert all(group[a] != group[b] for a, b in left)  # what SimHash tied together isn't searched or checked again
+    left.clear()
+    monkeypatch.setattr(near_copies, "_near_fingerprints", lambda ones: spark.createDataFrame([], "a long, b long"))
+    assert kept() == set(range(0, 60, 10))
+    assert len(set(left)) >= 54  # without them all these links are the second search's
+
+
 def test_pipeline_stage_removes_near_copies(spark):
     import corpus_pipeline
 
