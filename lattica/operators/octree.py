@@ -1,9 +1,10 @@
 """The octree as grouping by Morton prefix.
 
 A node at level L is the set of points with one `morton >> 3 * (L + 1)`. Counts start from the smallest cells, one
-pre-aggregated shuffle of the points, so a dense cell is one row. The tree takes those cells in ranges of codes: a range
-gives the nodes below parents that it holds whole and that exceed the limit, and its parts of those that may go on in
-the next range, whatever their size; the parts, a few for each level, are added up. No row is repeated by level.
+pre-aggregated shuffle of the points, so a dense cell is one row. The tree takes those cells in the order of their codes,
+in stretches of at most `STRETCH`, however long a task's range of codes is: a stretch gives the nodes below parents that
+it holds whole and that exceed the limit, and its parts of those that may go on in the next stretch, whatever their size;
+the parts, a few for each level, are added up. No row is repeated by level.
 Points find their leaf by the order of codes, without a shuffle, as long as the tree has at most `SMALL_TREE` leaves.
 """
 
@@ -21,6 +22,8 @@ from lattica.functions import morton as M
 
 #: A tree of so many leaves goes to the tasks as two sorted arrays, 9 bytes a leaf; a larger one is joined.
 SMALL_TREE = 4_000_000
+#: So many smallest cells, of 88 bytes each, a task's Python holds at once.
+STRETCH = 65_536
 
 _EXTENTS = [f"{n}_{a}" for a in ("gx", "gy", "gz") for n in ("min", "max")]
 
@@ -75,17 +78,30 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
 
 
-def _range_tree(limit: int, top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of a range of smallest cells: the nodes that may be in the tree, as far as they lie in the range."""
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str, np.ndarray]]:
+    """The batches' rows in stretches of `most`, whatever the batches' length; the last may be shorter."""
+    got, rows = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            got.append(b.slice(at, most - rows))
+            at, rows = at + got[-1].num_rows, rows + got[-1].num_rows
+            if rows == most:
+                yield _columns(got)
+                got, rows = [], 0
+    if rows:
+        yield _columns(got)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        col = {n: t.column(n).to_numpy() for n in t.column_names}
-        order = np.argsort(col["key"])
-        col = {n: c[order] for n, c in col.items()}
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    t = pa.Table.from_batches(batches)
+    return {n: t.column(n).to_numpy() for n in t.column_names}
+
+
+def _range_tree(limit: int, top: int, most: int = STRETCH) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of smallest cells in the order of their keys: the nodes that may be in the tree, as far as they lie in one stretch."""
+
+    def nodes_of(col: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = col.pop("key")
         for lod in range(top + 1):
             here = key >> 3 * lod
@@ -96,7 +112,7 @@ def _range_tree(limit: int, top: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 up = here[begin] >> 3
                 first = _starts(up)
                 held = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(up))))
-                want = (held > limit) | (up == up[0]) | (up == up[-1])  # the range's first and last parents may go on outside
+                want = (held > limit) | (up == up[0]) | (up == up[-1])  # the stretch's first and last parents may go on outside
             if not want.any():
                 continue
             mask = col["mask"] if lod == 0 else 1 << (key >> 3 * (lod - 1) & 7)
@@ -105,6 +121,10 @@ def _range_tree(limit: int, top: int) -> Callable[[Iterator[pa.RecordBatch]], It
             out |= {e: (np.minimum if e[:3] == "min" else np.maximum).reduceat(col[e], begin) for e in _EXTENTS}
             yield pa.RecordBatch.from_arrays([pa.array(v[want]) for v in out.values()], names=list(out))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for col in _stretches(batches, most):
+            yield from nodes_of(col)
+
     return run
 
 
@@ -112,7 +132,7 @@ def nodes(points: DataFrame, limit: int, root_lod: int | None = None) -> DataFra
     """The tree: prefixes all of whose ancestors hold more than `limit` points. Adds is_leaf, page and page level."""
     top = root(points) if root_lod is None else root_lod
     cells = smallest_cells(points).select("key", "n", "low", "high", F.col("mask").cast("long").alias("mask"), *(F.col(e).cast("long").alias(e) for e in _EXTENTS))
-    parts = cells.repartitionByRange("key").mapInArrow(_range_tree(limit, top), "lod int, key long, n long, low long, high long, child_mask int, " + ", ".join(f"{e} long" for e in _EXTENTS))
+    parts = cells.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_range_tree(limit, top, STRETCH), "lod int, key long, n long, low long, high long, child_mask int, " + ", ".join(f"{e} long" for e in _EXTENTS))
     every = parts.groupBy("lod", "key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("child_mask").alias("child_mask"), *((F.min if e[:3] == "min" else F.max)(e).alias(e) for e in _EXTENTS))
     split = every.filter((F.col("n") > limit) & (F.col("lod") > 0)).select(F.col("lod").alias("up_lod"), F.col("key").alias("up_key"))
     under = every.join(split, (F.col("lod") + 1 == F.col("up_lod")) & (F.call_function("shiftright", F.col("key"), F.lit(3)) == F.col("up_key")), "left_semi")

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,42 @@ def test_query_matches_sql(spark, con, name):
     assert norm([tuple(r) for r in df.collect()], df.columns) == norm(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("stretch", [1, 50])
+def test_nodes_from_short_stretches(spark, con, monkeypatch, stretch):
+    monkeypatch.setattr(octree, "STRETCH", stretch)
+    df = Q.QUERIES["octree_nodes"](spark, SF)
+    assert norm([tuple(r) for r in df.collect()], df.columns) == norm(con.sql(Q.SQL["octree_nodes"]).fetchall(), df.columns)
+
+
+def test_nodes_hold_no_whole_range():
+    """A task's range of cells is as long as it likes: nodes come before it is read to its end, and are the same."""
+    key = np.unique(np.random.default_rng(5).integers(0, 1 << 24, 300_000))
+    cells = {"key": key, "n": key % 5 + 1, "low": key << 3, "high": (key << 3) + 7, "mask": key % 255 + 1} | {e: key + i for i, e in enumerate(octree._EXTENTS)}
+    table = pa.table(cells)
+    read = []
+
+    def batches(rows):
+        for b in table.to_batches(max_chunksize=rows):
+            read.append(b.num_rows)
+            yield b
+
+    def added(got):
+        t = pa.Table.from_batches(got).group_by(["lod", "key"]).aggregate([("n", "sum"), ("low", "min"), ("high", "max"), *((e, e[:3]) for e in octree._EXTENTS)])
+        n = {(r["lod"], r["key"]): r for r in t.to_pylist()}
+        return {k: r for k, r in n.items() if k[0] == 9 or n.get((k[0] + 1, k[1] >> 3), {"n_sum": 0})["n_sum"] > 256}
+
+    first = next(octree._range_tree(256, 9)(batches(20_000)))
+    assert first.num_rows and sum(read) <= 100_000 < len(key)
+    whole = added(octree._range_tree(256, 9)(batches(len(key))))
+    want = {(9, 0): int(cells["n"].sum())}
+    for lod in range(8, -1, -1):
+        at, where = np.unique(key >> 3 * lod, return_inverse=True)
+        n = np.bincount(where, cells["n"])
+        want |= {(lod, k): int(m) for k, m in zip(at.tolist(), n, strict=True) if want.get((lod + 1, k >> 3), 0) > 256}
+    assert {k: r["n_sum"] for k, r in whole.items()} == want
+    assert added(octree._range_tree(256, 9)(batches(7_001))) == whole
+
+
 @pytest.fixture(scope="module")
 def grid(spark):
     """All of 0..23 on three axes, x fastest."""
